@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, token_counts
+from . import ngram_join, packing, quality_rules, secrets, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_ngram_join": ngram_join.query,
+        "op4_quality_rules": quality_rules.query,
         "op7_packing": packing.query,
         "op9_token_counts": token_counts.query,
+        "op10_secrets": secrets.query,
     }
 
 
