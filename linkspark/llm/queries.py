@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, quality_rules, secrets, token_counts
+from . import ngram_join, packing, quality_rules, secrets, token_counts, url_rules, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_ngram_join": ngram_join.query,
         "op4_quality_rules": quality_rules.query,
+        "op5_url_rules": url_rules.query,
+        "op6_vector_search": vector_search.query,
         "op7_packing": packing.query,
         "op9_token_counts": token_counts.query,
         "op10_secrets": secrets.query,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_rules": url_rules.ORACLE}
