@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, quality_rules, secrets, token_counts, url_rules, vector_search
+from . import ngram_join, packing, quality_model, quality_rules, secrets, token_counts, toxicity, url_rules, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.query,
+        "op2_quality": quality_model.query,
         "op3_ngram_join": ngram_join.query,
         "op4_quality_rules": quality_rules.query,
         "op5_url_rules": url_rules.query,
