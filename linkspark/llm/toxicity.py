@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .labelled import calibrate, held_out, label_sample, sigmoid
 from .scratch import stash
-from .textvec import LOWER, Block, blocks, hash_spans, word_spans
+from .textvec import LOWER, Block, blocks, hash_spans, mix, word_spans
 
 MOD, REST = 3, 1
 _U = np.uint64
@@ -196,9 +196,10 @@ class Classifier:
         return sigmoid(self.scale * self.logits(block) + self.shift)
 
 
-def mine(sample: list[np.ndarray], y: np.ndarray, support: int = 3, ratio: float = 8.0) -> Terms | None:
-    """Terms that at least `support` toxic sample documents hold, at `ratio` times the clean rate."""
+def mine(sample: list[np.ndarray], y: np.ndarray, share: float = 0.01, ratio: float = 8.0) -> Terms | None:
+    """Terms that three toxic sample documents and `share` of them hold, at `ratio` times the clean rate."""
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    support = max(3, share * n1)
     k1, c1 = np.unique(np.concatenate([s for s, t in zip(sample, y, strict=True) if t == 1]), return_counts=True)
     k0, c0 = np.unique(np.concatenate([s for s, t in zip(sample, y, strict=True) if t == 0]), return_counts=True)
     k1, c1 = k1[c1 >= support], c1[c1 >= support]
@@ -217,6 +218,28 @@ def mine(sample: list[np.ndarray], y: np.ndarray, support: int = 3, ratio: float
     return Terms(k1[best][by], order)
 
 
+def distinct_sample(sample: list[np.ndarray], least: float = 0.5, bands: int = 8, width: int = 4) -> np.ndarray:
+    """Positions of sample documents without earlier near copies, so that one copied text counts once.
+
+    Candidates come from banded minima of the term hashes, and are compared as whole sets.
+    """
+    first: dict[tuple, int] = {}
+    keep = []
+    for i, x in enumerate(sample):
+        if not len(x):
+            continue
+        minima = np.array([mix(x ^ _U(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))).min() for j in range(bands * width)]).reshape(bands, width)
+        keys = [(b, *row) for b, row in enumerate(minima.tolist())]
+        near = {first[k] for k in keys if k in first}
+        same = (len(np.intersect1d(x, sample[j], assume_unique=True)) for j in near)
+        if any(c >= least * (len(x) + len(sample[j]) - c) for j, c in zip(near, same, strict=True)):
+            continue
+        keep.append(i)
+        for k in keys:
+            first.setdefault(k, i)
+    return np.array(keep, np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs: int = 3000) -> Classifier:
     """From at most toxic_docs and clean_docs labelled training rows, and the votes of all documents."""
     sample, size = label_sample(labels, "toxic", MOD, REST, {1: toxic_docs, 0: clean_docs})
@@ -231,17 +254,19 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 row, h = row[new], h[new]
                 cut = np.searchsorted(row, np.arange(block.n + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.lo, block.n), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(block.n)], pa.binary())], names=["y", "x"])
+                texts = batch.column(0).slice(block.lo, block.n)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.lo, block.n), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(block.n)], pa.binary()), texts], names=["y", "x", "text"])
 
-    joined = stash(docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["doc_id"]).select(docs["text"], "y"), "toxic-sample")
-    rows = joined.mapInArrow(encode, "y int, x binary").collect()
+    # The sample has toxic_docs + clean_docs rows of two numbers at most.
+    joined = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["doc_id"]).select(docs["text"], "y")
+    rows = sorted(joined.mapInArrow(encode, "y int, x binary, text string").collect(), key=lambda r: (r["y"], r["x"]))
+    rows = [rows[i] for i in distinct_sample([np.frombuffer(r["x"], _U) for r in rows])]
     y = np.array([r["y"] for r in rows], float)
     prior = (size.get(1, 0) + 1) / (sum(size.values()) + 2)
     none = Classifier(None, np.zeros(0), 0.0, constant=prior)
     if len(set(y.tolist())) < 2:
         return none
     found = mine([np.frombuffer(r["x"], _U) for r in rows], y)
-    del rows
     if found is None:
         return none
 
@@ -250,32 +275,21 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs
             for block in blocks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(votes(found, block).view(np.int64))], names=["votes"])
 
-    def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                row, _, k, _, _ = found.hits(block)
-                pair = np.unique(row * len(found.keys) + k)
-                cut = np.searchsorted(pair // len(found.keys), np.arange(block.n + 1))
-                k = (pair % len(found.keys)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(block.lo, block.n), pa.array(votes(found, block).view(np.int64)), pa.array([k[cut[i] : cut[i + 1]].tobytes() for i in range(block.n)], pa.binary())], names=["y", "votes", "k"]
-                )
-
     voted = stash(docs.select("text").mapInArrow(vote, "votes long"), "votes")
-    rows = sorted(joined.mapInArrow(sample_rows, "y int, votes long, k binary").collect(), key=lambda r: (r["y"], r["votes"], r["k"]))
-    y = np.array([r["y"] for r in rows], float)
-    v = unpack(np.array([r["votes"] for r in rows], np.int64).view(_U))
+    bits, x = [], np.zeros((len(rows), len(found.keys)), np.float32)
+    for block in blocks(pa.array([r["text"] for r in rows], pa.large_string())):
+        bits.append(votes(found, block))
+        row, _, k, _, _ = found.hits(block)
+        x[block.lo + row, k] = 1
+    v = unpack(np.concatenate(bits))
     rate = lambda c: np.clip((v[y == c].sum(0) + 0.5) / ((y == c).sum() + 1), 1e-4, 1 - 1e-4)
     model = fit_label_model(voted, LabelModel(prior, rate(1), rate(0), np.full(N_VOTERS, 0.3)))
     target = model.posterior(v)
-    x = np.zeros((len(rows), len(found.keys)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["k"], np.int32)] = 1
     weight, bias = np.zeros(len(found.keys)), float(np.log(prior / (1 - prior)))
     speed = np.maximum(x.sum(0), 1) ** -0.5
-    for _ in range(250):  # gradient steps scaled by each term's frequency
+    for _ in range(600):  # gradient steps scaled by each term's frequency
         d = sigmoid(x @ weight + bias) - target
-        weight -= 0.5 * speed * (x.T @ d * speed + 0.02 * weight)
+        weight -= 0.5 * speed * (x.T @ d * speed + 0.003 * weight)
         bias -= 0.5 * float(d.mean())
     out = Classifier(found, weight, bias)
     out.scale, out.shift = calibrate(x @ weight + bias, y, size)
