@@ -35,7 +35,7 @@ from .textvec import LOWER, Block, blocks, hash_spans, mix, word_spans
 MOD, REST = 3, 1
 _U = np.uint64
 PREFIXES = (4, 5, 6)
-MAX_TERMS = 1500
+MAX_TERMS = 600
 LEXICON_VOTERS = 48
 #: Pattern voters: distinct terms, share of words, neighbouring hits, shouted hit, no term.
 PATTERN_VOTERS = 6
@@ -285,12 +285,16 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs
     rate = lambda c: np.clip((v[y == c].sum(0) + 0.5) / ((y == c).sum() + 1), 1e-4, 1 - 1e-4)
     model = fit_label_model(voted, LabelModel(prior, rate(1), rate(0), np.full(N_VOTERS, 0.3)))
     target = model.posterior(v)
-    weight, bias = np.zeros(len(found.keys)), float(np.log(prior / (1 - prior)))
-    speed = np.maximum(x.sum(0), 1) ** -0.5
-    for _ in range(600):  # gradient steps scaled by each term's frequency
-        d = sigmoid(x @ weight + bias) - target
-        weight -= 0.5 * speed * (x.T @ d * speed + 0.003 * weight)
-        bias -= 0.5 * float(d.mean())
+    design = np.concatenate((x, np.ones((len(x), 1), np.float32)), axis=1).astype(np.float64)
+    w = np.zeros(design.shape[1])
+    w[-1] = np.log(prior / (1 - prior))
+    ridge = np.full(len(w), 0.05)
+    ridge[-1] = 1e-6
+    for _ in range(12):  # damped Newton steps
+        p = sigmoid(design @ w)
+        hess = design.T @ (design * np.maximum(p * (1 - p), 1e-6)[:, None]) + np.diag(ridge)
+        w -= np.clip(np.linalg.solve(hess, design.T @ (p - target) + ridge * w), -1.5, 1.5)
+    weight, bias = w[:-1], float(w[-1])
     out = Classifier(found, weight, bias)
     out.scale, out.shift = calibrate(x @ weight + bias, y, size)
     return out
