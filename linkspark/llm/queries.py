@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, quality_model, quality_rules, secrets, token_counts, toxicity, url_rules, vector_search
+from . import ngram_join, packing, piece_lattice, quality_model, quality_rules, secrets, token_counts, toxicity, url_rules, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_rules": url_rules.query,
         "op6_vector_search": vector_search.query,
         "op7_packing": packing.query,
+        "op8_piece_lattice": piece_lattice.query,
         "op9_token_counts": token_counts.query,
         "op10_secrets": secrets.query,
     }
