@@ -2,8 +2,8 @@
 
 Pieces and scores come from a model file. A text is prepared as the model's processor does (blanks become
 U+2581, one goes before the text where the model says so) and cut into chunks before each single
-U+2581 that stands between other characters, and between a letter and a stop, and at line feeds, where no piece joins them; all
-is checked against all pieces when the model is loaded. Over a chunk's lattice of pieces, a forward Viterbi pass gives the best score of
+U+2581 that stands between other characters, and between a letter and a stop that no piece joins; both are
+checked against all pieces when the model is loaded. Over a chunk's lattice of pieces, a forward Viterbi pass gives the best score of
 every prefix. Those scores are exact remaining costs for an A* search from the chunk's end to its
 start, so segmentations come out in order, best first. Characters that no piece covers fall back to their
 bytes, or to the unknown piece.
@@ -63,13 +63,9 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         if any(re.search(BORDER, p) for p in self.ids):
             raise ValueError("a piece of this model spans a word border")
-        cuts = [BORDER]
-        for c in STOPS:
-            before = {p[k - 1] for p in self.ids for k in range(1, len(p)) if p[k] == c}
-            cuts.append(rf"(?<=[^\W\d_{re.escape(''.join(sorted(before)))}])(?={re.escape(c)})")
-        if not any("\n" in p for p in self.ids):
-            cuts.append(r"(?<=\n)(?!$)|(?<=.)(?=\n)")
-        self.border = re.compile("|".join(cuts))
+        joined = {c for c in STOPS if any(re.search(r"[^\W\d_]" + re.escape(c), p) for p in self.ids)}
+        free = re.escape("".join(c for c in STOPS if c not in joined))
+        self.border = re.compile(BORDER + (rf"|(?<=[^\W\d_])(?=[{free}])" if free else ""))
         self.raw = [t.encode() for t in self.text]
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
