@@ -1,16 +1,73 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all the documents that its predecessor kept:
+
+1. quality       drops the documents that the quality classifier rejects (predicted 0 at 0.7).
+2. toxicity      drops the documents that the toxicity classifier rejects (score 0.7 or more).
+3. near-copies   keeps of each group of linked documents the one with the smallest doc_id.
+4. secrets       replaces every finding of the secret scan in the text; no document is dropped.
+5. packing       returns the pieces of packed token sequences.
+
+All but the last return the columns of documents. Classifiers learn from sf_dir's labels, joined to the
+documents at hand; rows with a doc_id that is null have no score to be joined by, and are judged by their
+text all the same since judgement is a column of the same row. ORACLE_SQL is None: SQL expresses none of
+the trained stages, so the pipeline is tested against a plain version of its rules.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkspark.llm import ngram_join, packing, quality_model, secrets, toxicity
+from linkspark.llm.scratch import stash
+
+THRESHOLD = 0.7
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality_model.train(docs, _labels(spark, sf_dir))
+    return quality_model.with_score(docs, model, "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+
 
-STAGES: list = []
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, _labels(spark, sf_dir))
+    return toxicity.with_score(docs, model, "_score").where(F.col("_score") < THRESHOLD).drop("_score")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document whose doc_id names its component; of several rows with that doc_id any one stays."""
+    groups = stash(ngram_join.near_duplicates(docs), "groups")
+    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = docs.join(keep.select(F.col("doc_id").alias("_keep")).distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    again = keep.groupBy("doc_id").count().where("count > 1")
+    return kept.dropDuplicates(["doc_id"]) if again.take(1) else kept
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs, secrets.train(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [
+    ("quality", quality),
+    ("toxicity", clean),
+    ("near_copies", one_of_each),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from linkspark.llm.scratch import stash
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
