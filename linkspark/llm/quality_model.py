@@ -181,6 +181,16 @@ def score(docs: DataFrame, model: Attention) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def with_score(docs: DataFrame, model: Attention, name: str) -> DataFrame:
+    """docs with the score of its text as a further column."""
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.float64()), *(pa.array(model.score(*reversed(passages(block)))) for block in blocks(texts))])
+
+    return docs.withColumn(name, scored("text"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
