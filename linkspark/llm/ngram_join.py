@@ -17,10 +17,15 @@ these are its signatures. A set also enters the next lower band if a partner may
 * A band whose segments are too few for one of its sets (fewer than H+1 of its subsets are non-empty,
   checked for every document) uses single tokens as its segments instead, where that cannot happen.
 
-Candidates are verified on the whole sets, so links are exact up to equality of 64-bit hashes. Identical
+Candidates are verified on the whole sets, so links are exact up to equality of 64-bit hashes. Before the
+sets travel, pairs are dropped whose histograms over SKETCH bins of the universe already differ by more than
+the bound: the sum of differences of counts never exceeds the number of differing tokens. Identical
 sets are one node throughout; their copies are never paired. A bucket of up to `pair_limit` different
-sets gives all its pairs, a larger one first gives a star; after those links are known, exactly the pairs
-that are still in different components follow.
+sets gives all its pairs. A larger one first gives stars, each round with another centre; after those links
+are known, its members that are still in different components are compared pair by pair inside the task
+that holds them, in blocks of bounded size, and only pairs that pass size and histogram go on. Buckets of the
+same members count once. That last step is quadratic in the members of a bucket that do not link, so it is
+the allocation's task to keep such buckets small.
 
 Nulls and texts without words have the empty set and link with nothing. Rows with equal doc_id count as
 one node for each different text. An empty table gives no rows. Further columns are ignored.
@@ -29,6 +34,7 @@ one node for each different text. An empty table gives no rows. Further columns
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +52,7 @@ BANDS = np.array([3, 6] + [12 << i for i in range(40)], np.int64)
 #: Bands that begin lower have single tokens as segments.
 SEGMENTED_FROM = 96
 BLOOM_BITS = 1 << 23
+SKETCH = 1024
 
 
 def content_ids(borders: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -63,7 +70,7 @@ def segments_of(band: int, single: frozenset[int]) -> int:
 
 def subsets(band: int, segments: int, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, content hash, size, first token, token order) of the non-empty subsets, grouped by row."""
-    salt = _U(0x632BE59BD9B4E019) * _U(band + 1)
+    salt = _U(0x632BE59BD9B4E019 * (band + 1) & (1 << 64) - 1)
     x = mix(h ^ salt)
     if not segments:
         return row, x, np.ones(len(x), np.int64), np.arange(len(x)), np.arange(len(x))
@@ -151,18 +158,40 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def frequent_shingles(docs: DataFrame, k: int, share: float = 0.005, most: int = 65_536, summary: int = 500_000) -> tuple[Hot, frozenset[int]]:
-    """Shingles that at least `share` of a partition's documents have, up to `most` of them by count, and
-    the bands that need single tokens. A partition keeps at most `summary` counters."""
+def sketches(borders: np.ndarray, h: np.ndarray) -> list[bytes]:
+    """Counts of each row's tokens by bin, held at 255; equal counts below stay exact lower bounds."""
+    bins = (h >> _U(54)).astype(np.int64)
+    return [np.minimum(np.bincount(bins[a:b], minlength=SKETCH), 255).astype(np.uint8).tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
+
+
+class Fresh:
+    """Which rows of a block hold a set that this task has not met before."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def of(self, cids: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(cids), bool)
+        for i, x in enumerate(cids.tolist()):
+            if x not in self.seen:
+                self.seen.add(x)
+                new[i] = True
+        return new
+
+
+def frequent_shingles(docs: DataFrame, k: int, share: float = 0.001, most: int = 131_072, summary: int = 500_000) -> tuple[Hot, frozenset[int]]:
+    """Shingles that at least `share` of a partition's different texts have, up to `most` of them by count,
+    and the bands that need single tokens. A partition keeps at most `summary` counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, total, bands = np.zeros(0, _U), np.zeros(0, np.int64), 0, set()
+        keys, counts, total, bands, fresh = np.zeros(0, _U), np.zeros(0, np.int64), 0, set(), Fresh()
         for batch in batches:
             for block in blocks(batch.column(0)):
                 borders, h = shingle_sets(block, k)
                 bands |= short_of_segments(borders, h)
-                total += block.n
-                x, c = np.unique(h, return_counts=True)
+                new = fresh.of(content_ids(borders, h))
+                total += int(new.sum())
+                x, c = np.unique(h[np.repeat(new, np.diff(borders))], return_counts=True)
                 often = c > 1
                 both = np.concatenate((keys, x[often]))
                 keys, back = np.unique(both, return_inverse=True)
@@ -181,9 +210,13 @@ def frequent_shingles(docs: DataFrame, k: int, share: float = 0.005, most: int =
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that have been written out."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of results that have been written out. Python's handles go
+    first, then the JVM's; the cleaner works beside the query."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def candidate_rows(docs: DataFrame, k: int, hot: Hot, single: frozenset[int], pair_limit: int) -> DataFrame:
@@ -196,17 +229,13 @@ def candidate_rows(docs: DataFrame, k: int, hot: Hot, single: frozenset[int], pa
     parts = 4 * n_shuffle
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        fresh = Fresh()
         for batch in batches:
             sig, cid = [], []
             for block in blocks(batch.column(0)):
                 borders, h = shingle_sets(block, k)
                 c = content_ids(borders, h)
-                new = np.zeros(block.n, bool)
-                for i, x in enumerate(c.tolist()):
-                    if x not in seen:
-                        seen.add(x)
-                        new[i] = True
+                new = fresh.of(c)
                 n = np.diff(borders)
                 h = h[np.repeat(new, n)]
                 row, s = signatures(np.concatenate(([0], np.cumsum(n * new))), h, hot, single)
@@ -245,6 +274,13 @@ def candidate_rows(docs: DataFrame, k: int, hot: Hot, single: frozenset[int], pa
                 f = small[0][small[1] > j]
                 pairs.append(np.stack((c[f + i], c[f + j])))
         f, n = first[size > pair_limit], size[size > pair_limit]
+        if len(f):  # buckets of the same members count once
+            ends = np.stack((f, f + n), 1).ravel()
+            who = np.add.reduceat(np.append(mix(c), _U(0)), ends)[::2] + n.astype(_U)
+            who, keep = np.unique(who, return_index=True)
+            f, n = f[keep], n[keep]
+        else:
+            who = f.astype(_U)
         at = np.repeat(f - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
         lead = np.repeat(c[f], n)
         pairs.append(np.stack((lead, c[at]))[:, c[at] != lead])
@@ -254,7 +290,7 @@ def candidate_rows(docs: DataFrame, k: int, hot: Hot, single: frozenset[int], pa
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        for x, y, kind in ((a[new], b[new], False), (s[at].view(np.int64), c[at].view(np.int64), True)):
+        for x, y, kind in ((a[new], b[new], False), (np.repeat(who, n).view(np.int64), c[at].view(np.int64), True)):
             for i in range(0, len(x), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]), pa.array(y[i : i + 100_000]), pa.array(np.full(len(x[i : i + 100_000]), kind))], names=["a", "b", "residual"])
 
@@ -262,9 +298,27 @@ def candidate_rows(docs: DataFrame, k: int, hot: Hot, single: frozenset[int], pa
     return packed.repartition(n_shuffle, "part").mapInArrow(meet, "a long, b long, residual boolean")
 
 
+def may_link(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs whose sizes and histograms allow a link."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (2, 3))
+            gap = np.zeros(len(batch), np.int64)
+            for i in range(0, len(batch), 2000):
+                gap[i : i + 2000] = np.abs(x[i : i + 2000].astype(np.int16) - y[i : i + 2000]).sum(1)
+            yield batch.select([0, 1]).filter(pa.array(7 * gap <= batch.column(4).to_numpy()))
+
+    one = reps.select(F.col("cid").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("m"))
+    two = reps.select(F.col("cid").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("n"))
+    near = pairs.join(one, "a").join(two, "b").where("4 * least(m, n) >= 3 * greatest(m, n)")
+    return near.select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("size")).mapInArrow(close, "a long, b long")
+
+
 def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) of content ids whose sets are alike enough."""
-    need = stash(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps, "cid"), "needed")
+    pairs = stash(may_link(pairs, reps), "may-link")
+    need = stash(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps.select("cid", "doc_id"), "cid"), "needed")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
     words = need.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
     bloom = np.zeros(BLOOM_BITS // 64, np.int64)
@@ -300,7 +354,50 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, pair_limit: int = 6) -> DataFrame:
+def apart(buckets: DataFrame, group: DataFrame) -> DataFrame:
+    """bucket, cid, component of the buckets whose members are in different components."""
+    member = buckets.join(group.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    member = stash(member, "members")
+    split = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    return stash(member.join(split, "bucket"), "apart")
+
+
+def blockwise(left: DataFrame, reps: DataFrame, block: int = 1500) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components that size and histogram allow.
+
+    A bucket of more than `block` members is cut into parts by hash, and every two parts meet in a task of
+    their own, so no task holds more than about two parts.
+    """
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        cid, n, comp, part = (t[c].to_numpy() for c in ("cid", "n_shingles", "component", "part"))
+        order = np.argsort(n, kind="stable")
+        cid, n, comp, part = cid[order], n[order], comp[order], part[order]
+        fine = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)[order].astype(np.int16)
+        rough = fine.reshape(len(fine), 64, -1).sum(2)
+        two = key[1].as_py() != key[2].as_py()
+        a, b = [], []
+        for i in range(len(cid)):
+            hi = int(np.searchsorted(n, n[i] * 4 // 3, "right"))
+            j = np.arange(i + 1, hi)
+            j = j[(comp[j] != comp[i]) & ((part[j] != part[i]) | (not two))]
+            for view in (rough, fine):
+                if len(j):
+                    j = j[7 * np.abs(view[j] - view[i]).sum(1, dtype=np.int64) <= n[i] + n[j]]
+            a.append(np.full(len(j), cid[i]))
+            b.append(cid[j])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    parts = left.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("parts"))
+    placed = left.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("parts"))).join(reps.select("cid", "n_shingles", "sketch"), "cid")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    met = placed.select("bucket", "cid", "component", "n_shingles", "sketch", "part", other.alias("q"))
+    met = met.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q")).drop("q")
+    return met.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, pair_limit: int = 6, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -309,10 +406,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, pair_limit: int = 6) -> DataFra
         for batch in batches:
             for block in blocks(batch.column(1)):
                 borders, h = shingle_sets(block, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(np.diff(borders).astype(np.int64)), _i64(content_ids(borders, h))], names=["doc_id", "n_shingles", "cid"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(np.diff(borders).astype(np.int64)), _i64(content_ids(borders, h)), pa.array(sketches(borders, h), pa.binary())], names=["doc_id", "n_shingles", "cid", "sketch"])
 
-    described = stash(docs.mapInArrow(describe, "doc_id long, n_shingles long, cid long"), "described")
-    reps = stash(described.where("cid <> 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "representatives")
+    described = stash(docs.mapInArrow(describe, "doc_id long, n_shingles long, cid long, sketch binary"), "described")
+    reps = stash(described.where("cid <> 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "representatives")
     hot, single = frequent_shingles(docs, k)
     found = stash(candidate_rows(docs, k, hot, single, pair_limit), "candidates")
     release(spark)
@@ -320,17 +417,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, pair_limit: int = 6) -> DataFra
     links = stash(verify(docs, reps, pairs, k), "links")
     release(spark)
     group = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Large buckets: members that are still apart are paired, except with the star's centre.
-    member = found.where("residual").select(F.col("a").alias("bucket"), F.col("b").alias("cid")).join(group.withColumnRenamed("node", "cid"), "cid", "left")
-    member = stash(member.withColumn("component", F.coalesce("component", "cid")), "members")
-    apart = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left = member.join(apart, "bucket")
-    again = left.alias("p").join(left.alias("q"), F.expr("p.bucket = q.bucket and p.component < q.component"))
-    again = again.select(F.least("p.cid", "q.cid").alias("a"), F.greatest("p.cid", "q.cid").alias("b")).distinct()
-    again = stash(again.join(pairs, ["a", "b"], "left_anti"), "residual")
-    if again.take(1):
-        links = links.unionByName(stash(verify(docs, reps, again, k), "links"))
-        group = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    buckets = stash(found.where("residual").select(F.col("a").alias("bucket"), F.col("b").alias("cid")).distinct(), "buckets")
+    for turn in range(star_rounds + 1):
+        left = apart(buckets, group)
+        if turn < star_rounds:
+            lead = left.groupBy("bucket").agg(F.min_by(F.struct("cid", "component"), F.xxhash64("cid", F.lit(turn))).alias("lead"))
+            star = left.join(lead, "bucket").where("component <> lead.component")
+            again = star.select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b")).distinct()
+        else:
+            again = blockwise(left, reps)
+        again = stash(again.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        if again.take(1):
+            links = links.unionByName(stash(verify(docs, reps, again, k), "links"))
+            group = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            pairs = pairs.unionByName(again)
     # Components so far are named by content ids; rename them by their smallest document.
     named = reps.join(group.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     name = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
