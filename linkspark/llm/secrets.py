@@ -1,11 +1,12 @@
 """Secret scan: fixed patterns, and a character convolutional network over every further candidate.
 
 The patterns give base findings, which always stay. Every token of candidate shape (a run of 12 or more of
-[A-Za-z0-9+/_=-] holding a digit and a letter) that no base finding touches is scored, with the
+[A-Za-z0-9+/_-] holding a digit and a letter, with its padding) that no base finding touches is scored, with the
 characters around it, by a small convolutional network in numpy. It is trained on labelled findings: base
 findings, whose keyword or shape is hidden at random so that the value and looser contexts must carry the
 decision, against candidates and ordinary words beside no finding. The threshold is set on a holdout after
-Platt calibration: the highest one that keeps the wanted recall there, and never under `least_score`.
+Platt calibration: midway between the highest one that keeps the wanted recall there and the highest score of
+a negative, and never under `least_score`.
 
 The training sample is bounded: the `train_docs` documents with findings, and as many without, of smallest
 hash. Every document is scanned as a whole. Null and empty texts have no findings; repeated rows are
@@ -30,7 +31,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 DIGIT = re.compile(r"[0-9]")
 LETTER = re.compile(r"[A-Za-z]")
 
@@ -160,7 +161,9 @@ class CharNet:
             target = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))
             self.scale, self.shift = platt(z, target)
             found = np.sort(self.score(x[ho][t > 0]))
-            self.threshold = max(least_score, float(found[int((1 - recall) * len(found))]))
+            other = np.sort(self.score(x[ho][t == 0]))
+            most = float(found[int((1 - recall) * len(found))])  # a higher threshold would lose recall
+            self.threshold = min(most, max(least_score, (most + float(other[-1])) / 2)) if most > least_score else least_score
         return self
 
 
@@ -195,7 +198,7 @@ def examples(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x, np.uint8).reshape(-1, WIDTH), np.array(y)
 
 
-def train(docs: DataFrame, train_docs: int = 300, recall: float = 0.95, least_score: float = 0.9) -> CharNet | None:
+def train(docs: DataFrame, train_docs: int = 300, recall: float = 0.95, least_score: float = 0.6) -> CharNet | None:
     """The network, or None where there are no findings. Copies of one text count once."""
     rows = docs.select("text").where("text is not null and length(text) <= 20000").select("text", F.xxhash64("text").alias("h"))
     likely = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
