@@ -34,6 +34,7 @@ one node for each different text. An empty table gives no rows. Further columns
 from __future__ import annotations
 
 import gc
+import itertools
 import time
 from collections.abc import Iterator
 
@@ -369,32 +370,50 @@ def blockwise(left: DataFrame, reps: DataFrame, block: int = 1500) -> DataFrame:
     their own, so no task holds more than about two parts.
     """
 
-    def compare(key: tuple, t: pa.Table) -> pa.Table:
+    names = ["bucket", "i", "j", "cid", "n_shingles", "component", "part", "sketch"]
+
+    def compare(t: pa.Table, found: set[tuple[int, int]]) -> None:
         cid, n, comp, part = (t[c].to_numpy() for c in ("cid", "n_shingles", "component", "part"))
         order = np.argsort(n, kind="stable")
         cid, n, comp, part = cid[order], n[order], comp[order], part[order]
         fine = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)[order].astype(np.int16)
         rough = fine.reshape(len(fine), 64, -1).sum(2)
-        two = key[1].as_py() != key[2].as_py()
-        a, b = [], []
-        for i in range(len(cid)):
-            hi = int(np.searchsorted(n, n[i] * 4 // 3, "right"))
-            j = np.arange(i + 1, hi)
-            j = j[(comp[j] != comp[i]) & ((part[j] != part[i]) | (not two))]
+        two = t["i"][0].as_py() != t["j"][0].as_py()
+        for x in range(len(cid)):
+            y = np.arange(x + 1, int(np.searchsorted(n, n[x] * 4 // 3, "right")))
+            y = y[(comp[y] != comp[x]) & ((part[y] != part[x]) | (not two))]
             for view in (rough, fine):
-                if len(j):
-                    j = j[7 * np.abs(view[j] - view[i]).sum(1, dtype=np.int64) <= n[i] + n[j]]
-            a.append(np.full(len(j), cid[i]))
-            b.append(cid[j])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+                if len(y):
+                    y = y[7 * np.abs(view[y] - view[x]).sum(1, dtype=np.int64) <= n[x] + n[y]]
+            found.update((min(a, b), max(a, b)) for a, b in zip([int(cid[x])] * len(y), cid[y].tolist(), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups come one after the other; a pair that many of a task's groups hold is given once."""
+        found: set[tuple[int, int]] = set()
+        rest: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rest.append(batch)
+            t = pa.Table.from_batches(rest) if rest else None
+            if t is None or not len(t):
+                continue
+            key = np.stack([t[c].to_numpy() for c in names[:3]])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            cut = np.concatenate(([0], cut, [len(t)] if batch is None else []))
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                compare(t.slice(int(a), int(b - a)), found)
+            rest = t.slice(int(cut[-1])).combine_chunks().to_batches() if cut[-1] < len(t) else []
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     parts = left.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("parts"))
     placed = left.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("parts"))).join(reps.select("cid", "n_shingles", "sketch"), "cid")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     met = placed.select("bucket", "cid", "component", "n_shingles", "sketch", "part", other.alias("q"))
     met = met.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q")).drop("q")
-    return met.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(tasks, *names[:3]).sortWithinPartitions(*names[:3]).select(*names)
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, pair_limit: int = 6, star_rounds: int = 2) -> DataFrame:
