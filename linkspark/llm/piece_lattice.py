@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 #: What one character costs as bytes or as unknown, below the lowest score of a true piece.
 FALLBACK = 10.0
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 150_000
 #: Before a single blank between other characters.
 BORDER = f"(?<=[^{BLANK}])(?={BLANK}[^{BLANK}])"
 STOPS = ".,!?$%&*#|"

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 #: ASCII white space, \x09-\x0D and \x20.
 IS_SPACE = np.zeros(256, bool)

@@ -269,6 +269,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs
     found = mine([np.frombuffer(r["x"], _U) for r in rows], y)
     if found is None:
         return none
+    texts = pa.array([r["text"] for r in rows], pa.large_string())
+    del rows
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,8 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs
                 yield pa.RecordBatch.from_arrays([pa.array(votes(found, block).view(np.int64))], names=["votes"])
 
     voted = stash(docs.select("text").mapInArrow(vote, "votes long"), "votes")
-    bits, x = [], np.zeros((len(rows), len(found.keys)), np.float32)
-    for block in blocks(pa.array([r["text"] for r in rows], pa.large_string())):
+    bits, x = [], np.zeros((len(texts), len(found.keys)), np.float32)
+    for block in blocks(texts):
         bits.append(votes(found, block))
         row, _, k, _, _ = found.hits(block)
         x[block.lo + row, k] = 1

@@ -15,7 +15,7 @@ import numpy as np
 from .textvec import IS_SPACE, Block, hash_spans
 
 #: A worker's table is emptied beyond so many distinct chunks; it bounds memory, never results.
-MAX_CHUNKS = 700_000
+MAX_CHUNKS = 250_000
 
 
 @lru_cache(maxsize=4)
