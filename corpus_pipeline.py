@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and works on all the documents that its
 
 1. quality       drops the documents that the quality classifier rejects (predicted 0 at 0.7).
 2. toxicity      drops the documents that the toxicity classifier rejects (score 0.7 or more).
-3. near-copies   keeps of each group of linked documents the one with the smallest doc_id.
+3. near-copies   keeps of each group of linked documents the one with the smallest doc_id, told by doc_id and text.
 4. secrets       replaces every finding of the secret scan in the text; no document is dropped.
 5. packing       returns the pieces of packed token sequences.
 
@@ -41,12 +41,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document whose doc_id names its component; of several rows with that doc_id any one stays."""
-    groups = stash(ngram_join.near_duplicates(docs), "groups")
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = docs.join(keep.select(F.col("doc_id").alias("_keep")).distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    again = keep.groupBy("doc_id").count().where("count > 1")
-    return kept.dropDuplicates(["doc_id"]) if again.take(1) else kept
+    """Of each component the row with the smallest doc_id; of rows with the same doc_id and text any one stays.
+
+    Rows are told apart by doc_id and text, so different texts with one doc_id, or with none, are judged each
+    by its own component. Rows with neither doc_id nor words link with nothing and all stay.
+    """
+    keep = stash(ngram_join.one_of_each(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_of"), "n"), "keep")
+    blank = F.col("doc_id").isNull() & F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    rows = docs.where(~blank).withColumn("_key", ngram_join.text_key())
+    kept = rows.join(keep, rows["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "_key"]) if keep.where("n > 1").take(1) else kept
+    return kept.drop("_key").unionByName(docs.where(blank))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

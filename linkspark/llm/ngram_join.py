@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -416,19 +416,23 @@ def blockwise(left: DataFrame, reps: DataFrame, block: int = 1500) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, pair_limit: int = 6, star_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
+def grouped(docs: DataFrame, k: int = 5, pair_limit: int = 6, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, cid, sketch, key of every row; cid, component, doc_id, key of every set but the empty
+    one). key is the text's hash; a set has the smallest doc_id of its rows, null only if all are null."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 borders, h = shingle_sets(block, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(np.diff(borders).astype(np.int64)), _i64(content_ids(borders, h)), pa.array(sketches(borders, h), pa.binary())], names=["doc_id", "n_shingles", "cid", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(np.diff(borders).astype(np.int64)), _i64(content_ids(borders, h)), pa.array(sketches(borders, h), pa.binary()), batch.column(2).slice(block.lo, block.n)], names=["doc_id", "n_shingles", "cid", "sketch", "key"])
 
-    described = stash(docs.mapInArrow(describe, "doc_id long, n_shingles long, cid long, sketch binary"), "described")
-    reps = stash(described.where("cid <> 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "representatives")
+    described = stash(docs.mapInArrow(describe, "doc_id long, n_shingles long, cid long, sketch binary, key long"), "described")
+    docs = docs.select("doc_id", "text")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("least")
+    reps = described.where("cid <> 0").groupBy("cid").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    reps = stash(reps.select("cid", "least.doc_id", "n_shingles", "sketch", "least.key"), "representatives")
     hot, single = frequent_shingles(docs, k)
     found = stash(candidate_rows(docs, k, hot, single, pair_limit), "candidates")
     release(spark)
@@ -450,12 +454,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, pair_limit: int = 6, star_round
             links = links.unionByName(stash(verify(docs, reps, again, k), "links"))
             group = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
             pairs = pairs.unionByName(again)
-    # Components so far are named by content ids; rename them by their smallest document.
     named = reps.join(group.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    return described, named.select("cid", "component", "doc_id", "key")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, pair_limit: int = 6, star_rounds: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
+    described, named = grouped(docs, k, pair_limit, star_rounds)
+    # Components so far are named by content ids; rename them by their smallest document.
     name = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = stash(named.join(name, "component").select("cid", "component_id"), "named")
     return described.join(of, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n: of each component the row of smallest doc_id (null only where all are null), then smallest
+    set and text hash; n is how many rows of docs have both. Rows with a doc_id but without words are each
+    a component of their own; rows without either are left to the caller."""
+    described, named = grouped(docs)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "cid", "key")).alias("first")).select("first.doc_id", "first.key")
+    alone = described.where("cid = 0 and doc_id is not null").select("doc_id", "key").distinct()
+    rows = described.where("cid <> 0 or doc_id is not null").groupBy(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n"))
+    keep = first.unionByName(alone)
+    return keep.join(rows, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "n")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

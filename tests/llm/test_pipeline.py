@@ -39,3 +39,15 @@ def test_columns_and_decisions(spark, steps):
 def test_repeated_rows_keep_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13)] * 2 + [(2, "a b c d e f g", "en", "s", 13), (3, "z", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in C.one_of_each(spark, df, SMALL).collect()) == [1, 3]
+
+
+def test_repeated_and_null_ids_keep_every_group(spark):
+    """A text stays if it is its group's first, whatever other texts have its doc_id."""
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, base), (7, base + " 1"), (7, "one text of seven"), (7, "another text of seven"), (7, "another text of seven")]
+    rows += [(None, "no id one"), (None, "no id two"), (None, "no id two"), (None, None), (None, ""), (None, " "), (8, ""), (8, " "), (8, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.one_of_each(spark, df, SMALL)
+    assert got.columns == df.columns
+    want = [(1, base), (7, "one text of seven"), (7, "another text of seven"), (None, "no id one"), (None, "no id two"), (None, None), (None, ""), (None, " "), (8, ""), (8, " ")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
