@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +65,15 @@ def latest(updates: DataFrame) -> DataFrame:
 
 
 def stream_daily(events: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream of events (path, ts) to its present end; the table of its daily counts."""
+    """Run a stream of events (path, ts) to its present end, however long it takes; the table of its daily counts.
+    A failed stream raises. State goes to `checkpoint`, else to a new folder in spark.checkpoint.dir if that is set."""
     spark = events.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not checkpoint and shared:
+        checkpoint = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     writer = daily(events.withWatermark("ts", "1 day")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
     q = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    q.awaitTermination(300)
+    q.awaitTermination()
     return spark.table(name)
 
 

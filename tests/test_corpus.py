@@ -1,5 +1,8 @@
 """Sources, candidate filter, selection, model artifact and traffic on small inputs."""
 
+import uuid
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from linkspark.functions import urls as U
@@ -110,3 +113,16 @@ def test_routes(spark):
     df = spark.createDataFrame(rows, "u string, a string, want string")
     for r in df.select("want", T.route(F.col("u"), F.col("a")).alias("r")).collect():
         assert r.r.action == r.want
+
+
+def test_stream_runs_to_its_end(spark, tmp_path, monkeypatch):
+    from pyspark.sql.streaming.query import StreamingQuery
+
+    spark.sql("SELECT '/a' AS path, timestamp'2026-01-01 10:00:00' AS ts FROM range(7)").write.parquet(str(tmp_path / "in"))
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self) if timeout is None else False)
+    events = spark.readStream.schema("path string, ts timestamp").parquet(str(tmp_path / "in"))
+    name = f"waits_{uuid.uuid4().hex}"
+    assert [(r.path, r.views) for r in T.stream_daily(events, name).collect()] == [("/a", 7)]
+    (state,) = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob(f"{name}-*")
+    assert (state / "commits").is_dir()
