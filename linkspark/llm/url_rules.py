@@ -34,7 +34,9 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    # What follows the first :// is cut off before matching, so no later :// can be taken for it.
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, F.regexp_extract(F.substr(url, at + 3), r"^[^/?#]*([^?#]*)", 1)), F.lit(""))
 
 
 def host_key(host: Column) -> Column:

@@ -82,6 +82,14 @@ def test_url_rules(spark):
     assert {r.page_id: r.rule for r in U.judge_urls(asked, nested).collect()} == {1: "a.b.c/", 2: "b.c/", 3: "c/x", 4: None, 5: "c/x"}
 
 
+def test_path_ends_with_the_host_before_a_query(spark):
+    want = {"http://example.org?u=http://x.com/es/a": "", "http://example.org#http://x.com/es/a": "", "http://example.org/es/?u=http://x.com/fr/": "/es/", "http://example.org/a://b/c": "/a://b/c", "http:///es/x": "/es/x"}
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    rules = spark.createDataFrame(U.RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.path, r.verdict) for r in U.judge_urls(pages, rules).collect()}
+    assert got == {i: (p, "block" if p == "/es/" else "allow") for i, p in enumerate(want.values())}
+
+
 def secret_spans(t):
     found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A) if len(m.group(1)) >= 6]
     found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
