@@ -2,7 +2,7 @@
 
 Occurrences are found distributed: each held-out link is matched against the candidate pool (bounded by
 `pool`, broadcast). The greedy choice itself is sequential by nature; it runs in one task on the
-held-out sample, whose size is bounded by `bodies` (20,000), never on the corpus.
+held-out sample that the queries bound by `bodies` (20,000), as the reference's reservoir does, never on the corpus.
 """
 
 from __future__ import annotations

@@ -345,13 +345,13 @@ def initial_net_score(spark, d):
 
 
 @listed()
-def select_dictionary(spark, d):
-    return X.select_dictionary(pool(spark, d), heldout(spark, d)).where("kind = 'selected'").drop("kind")
+def select_dictionary(spark, d, bodies=20_000):
+    return X.select_dictionary(pool(spark, d), S.bottom_k(heldout(spark, d), bodies)).where("kind = 'selected'").drop("kind")
 
 
 @listed()
-def shadowed_tokens(spark, d):
-    return X.select_dictionary(pool(spark, d), heldout(spark, d)).where("kind = 'shadowed'").select("rank", "candidate", "n", F.col("gain").alias("initial_net"), F.col("net_score").alias("final_net"))
+def shadowed_tokens(spark, d, bodies=20_000):
+    return X.select_dictionary(pool(spark, d), S.bottom_k(heldout(spark, d), bodies)).where("kind = 'shadowed'").select("rank", "candidate", "n", F.col("gain").alias("initial_net"), F.col("net_score").alias("final_net"))
 
 
 # ------------------------------------------------------------------ sources

@@ -126,3 +126,22 @@ def test_stream_runs_to_its_end(spark, tmp_path, monkeypatch):
     assert [(r.path, r.views) for r in T.stream_daily(events, name).collect()] == [("/a", 7)]
     (state,) = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob(f"{name}-*")
     assert (state / "commits").is_dir()
+
+
+def test_selection_takes_the_smallest_hash_keys(spark):
+    from linkspark.plans import catalog
+
+    def key(row, m=(1 << 64) - 1):
+        x = (row + 0x9E3779B97F4A7C15) & m
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m
+        return x ^ (x >> 31)
+
+    d = "/root/testdata/sf0.001"
+    held = [(r.url, r.page_id + 1) for r in catalog.pages(spark, d).collect() if (r.page_id + 1) % 10 == 0]
+    least = sorted(held, key=lambda x: key(x[1]))[:3]
+    assert len(least) < len(held)
+    pool = catalog.pool(spark, d)
+    for name, kind in (("select_dictionary", "selected"), ("shadowed_tokens", "shadowed")):
+        want = {(r.rank, r.candidate) for r in X.select_dictionary(pool, spark.createDataFrame(least, "url string, row_no long")).where(f"kind = '{kind}'").collect()}
+        assert {(r.rank, r.candidate) for r in getattr(catalog, name)(spark, d, bodies=3).collect()} == want
