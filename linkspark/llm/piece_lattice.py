@@ -133,8 +133,7 @@ def load(path: str) -> PieceModel:
 
 
 class ChunkTable:
-    """Distinct chunks of a worker: best ids and score, the losses of the next segmentations, and whether
-    all of them decode to the chunk."""
+    """Distinct chunks of a worker: the ids of their segmentations, the best score and the losses of the next."""
 
     def __init__(self, path: str, n: int):
         self.model, self.n = load(path), n
@@ -144,25 +143,24 @@ class ChunkTable:
         self.index: dict[str, int] = {}
         self.score = np.zeros(0)
         self.loss = np.zeros((0, self.n - 1))
-        self.size = np.zeros(0, np.int64)
-        self.start = np.zeros(0, np.int64)
-        self.sound = np.zeros(0, bool)
+        self.size = np.zeros((0, self.n), np.int64)
+        self.start = np.zeros((0, self.n), np.int64)
         self.ids = np.zeros(0, "<u4")
 
     def add(self, chunks: list[str]) -> None:
         found = [self.model.n_best(c, self.n) for c in chunks]
         base = len(self.index)
         self.index.update((c, base + i) for i, c in enumerate(chunks))
-        size = np.fromiter((len(f[0][1]) for f in found), np.int64, len(found))
+        size = np.zeros((len(found), self.n), np.int64)
         loss = np.full((len(found), self.n - 1), np.inf)
         for i, f in enumerate(found):
+            size[i, : len(f)] = [len(ids) for _, ids in f]
             loss[i, : len(f) - 1] = [f[0][0] - s for s, _ in f[1:]]
         self.score = np.concatenate((self.score, [f[0][0] for f in found]))
         self.loss = np.concatenate((self.loss, loss))
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size).reshape(size.shape) - size))
         self.size = np.concatenate((self.size, size))
-        self.sound = np.concatenate((self.sound, [all(decode(ids, self.model) == c for _, ids in f) for c, f in zip(chunks, found, strict=True)]))
-        self.ids = np.concatenate((self.ids, np.fromiter((x for f in found for x in f[0][1]), "<u4", int(size.sum()))))
+        self.ids = np.concatenate((self.ids, np.fromiter((x for f in found for _, ids in f for x in ids), "<u4", int(size.sum()))))
 
     def rows(self, texts: list[list[str]]) -> np.ndarray:
         """Table rows of the chunks of several texts, laid end to end."""
@@ -175,9 +173,14 @@ class ChunkTable:
         return np.fromiter((get(c) for t in texts for c in t), np.int64, sum(map(len, texts)))
 
     def flat(self, rows: np.ndarray) -> np.ndarray:
-        size = self.size[rows]
+        """Ids of the chunks' best segmentations, laid end to end."""
+        size = self.size[rows, 0]
         to = np.cumsum(size)
-        return self.ids[np.repeat(self.start[rows] - (to - size), size) + np.arange(int(size.sum()))] if len(rows) else self.ids[:0]
+        return self.ids[np.repeat(self.start[rows, 0] - (to - size), size) + np.arange(int(size.sum()))] if len(rows) else self.ids[:0]
+
+    def one(self, row: int, k: int) -> np.ndarray:
+        """Ids of a chunk's segmentation k."""
+        return self.ids[self.start[row, k] : self.start[row, k] + self.size[row, k]]
 
 
 @lru_cache(maxsize=2)
@@ -211,29 +214,39 @@ def split(text: str, model: PieceModel) -> list[str]:
     return model.border.split(whole) if whole else []
 
 
-def encode(text: str, known: ChunkTable) -> list[tuple[float, np.ndarray]]:
-    """The n best segmentations of a whole text: (score, ids)."""
-    chunks = split(text, known.model)
-    rows = known.rows([chunks])
-    best = float(known.score[rows].sum())
+def sequences(known: ChunkTable, rows: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    """The n best segmentations of a whole text with these chunks: (score, ids), best first."""
+    score, best = float(known.score[rows].sum()), known.flat(rows)
+    to = np.cumsum(known.size[rows, 0])
     out = []
     for loss, choice in alternatives(known, rows, known.n):
-        own = {i: np.array(known.model.n_best(chunks[i], known.n)[k][1], "<u4") for i, k in choice}
-        out.append((best - loss, np.concatenate([own.get(i, known.flat(rows[i : i + 1])) for i in range(len(rows))]) if own else known.flat(rows)))
+        parts, at = [], 0
+        for i, k in sorted(choice):
+            parts += [best[at : to[i] - known.size[rows[i], 0]], known.one(rows[i], k)]
+            at = to[i]
+        out.append((score - loss, np.concatenate([*parts, best[at:]]) if parts else best))
     return out
 
 
+def encode(text: str, known: ChunkTable) -> list[tuple[float, np.ndarray]]:
+    """The n best segmentations of a whole text: (score, ids)."""
+    return sequences(known, known.rows([split(text, known.model)]))
+
+
 def decode(ids: np.ndarray | list[int], model: PieceModel) -> str:
     """The prepared text of a piece sequence; byte pieces are joined before decoding."""
-    return b"".join([model.raw[i] for i in ids]).decode("utf-8", "replace")
+    ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+    return b"".join(map(model.raw.__getitem__, ids)).decode("utf-8", "replace")
 
 
-SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, n_found int, last_score double, decodes boolean"
+N_BEST = pa.list_(pa.struct([("rank", pa.int32()), ("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decodes", pa.bool_())]))
+SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, n_found int, last_score double, decodes boolean, n_best array<struct<rank int, score double, n_pieces long, ids_crc32 long, decodes boolean>>"
 
 
 def n_best_summary(docs: DataFrame, path: str, n: int = 4, with_ids: bool = False) -> DataFrame:
     """Best segmentation of each whole text, the number of segmentations found (n at most), the score of
-    the last of them, and whether all decode to the prepared text. with_ids adds the segmentations."""
+    the last of them, and whether all decode to the prepared text. n_best has all of them, ranked from 1: every
+    sequence is assembled and decoded as a whole. with_ids adds the sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table(path, n)
@@ -241,17 +254,21 @@ def n_best_summary(docs: DataFrame, path: str, n: int = 4, with_ids: bool = Fals
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                chunks = [split(t, known.model) for t in texts]
+                whole = [known.model.prepare(t) for t in texts]
+                chunks = [known.model.border.split(w) if w else [] for w in whole]
                 rows = known.rows(chunks)
                 cut = np.concatenate(([0], np.cumsum([len(c) for c in chunks])))
-                out = []
-                for i in range(len(texts)):
-                    own = rows[cut[i] : cut[i + 1]]
-                    ids, best, choice = known.flat(own), float(known.score[own].sum()), alternatives(known, own, n)
-                    out.append((len(ids), zlib.crc32(ids.tobytes()), best, len(choice), best - choice[-1][0], bool(known.sound[own].all())))
-                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)]
-                names = ["doc_id", "n_pieces", "ids_crc32", "score", "n_found", "last_score", "decodes"]
-                lists = [pa.array([[ids.tolist() for _, ids in encode(t, known)] for t in texts], pa.list_(pa.list_(pa.int64())))] if with_ids else []
+                out, every = [], []
+                for i, w in enumerate(whole):
+                    found = sequences(known, rows[cut[i] : cut[i + 1]])
+                    ranked = [(r, score, len(ids), zlib.crc32(ids.tobytes()), decode(ids, known.model) == w) for r, (score, ids) in enumerate(found, 1)]
+                    _, score, size, crc, _ = ranked[0]
+                    out.append((size, crc, score, len(ranked), ranked[-1][1], all(x[-1] for x in ranked), ranked))
+                    if with_ids:
+                        every.append([ids.tolist() for _, ids in found])
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_(), N_BEST), strict=True)]
+                names = ["doc_id", "n_pieces", "ids_crc32", "score", "n_found", "last_score", "decodes", "n_best"]
+                lists = [pa.array(every, pa.list_(pa.list_(pa.int64())))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols, *lists], names=names + ["segmentations"] * with_ids)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA + ", segmentations array<array<long>>" * with_ids)

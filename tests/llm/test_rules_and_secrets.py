@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -185,3 +186,19 @@ def test_n_best_query(docs, odd):
     got = {r.doc_id: r for r in L.n_best_summary(odd.where("doc_id <> 6"), path, with_ids=True).collect()}
     assert got[0].n_pieces == 0 and got[1].n_found == 1 and len(got[4].segmentations) == 4
     assert L.n_best_summary(odd.limit(0), path).count() == 0
+
+
+def test_every_sequence_is_assembled_and_decoded(docs, odd):
+    path = P.path("piece_bpe_32k.model")
+    m = L.load(path)
+    for df in (docs.limit(40), odd):
+        text = {r.doc_id: r.text or "" for r in df.collect()}
+        for r in L.n_best_summary(df, path, with_ids=True).collect():
+            assert [x["rank"] for x in r.n_best] == list(range(1, r.n_found + 1)) and len(set(map(tuple, r.segmentations))) == r.n_found
+            assert [x.ids_crc32 for x in r.n_best] == [zlib.crc32(np.array(s, "<u4").tobytes()) for s in r.segmentations]
+            assert [x.n_pieces for x in r.n_best] == list(map(len, r.segmentations))
+            assert [x.score for x in r.n_best] == sorted((x.score for x in r.n_best), reverse=True)
+            assert r.decodes and all(x.decodes and L.decode(s, m) == m.prepare(text[r.doc_id]) for x, s in zip(r.n_best, r.segmentations, strict=True))
+            assert (r.n_pieces, r.ids_crc32, r.score, r.last_score) == (r.n_best[0].n_pieces, r.n_best[0].ids_crc32, r.n_best[0].score, r.n_best[-1].score)
+            known = [sum(m.score[m.text[i]] if m.text[i] in m.ids and m.ids[m.text[i]] == i else m.fallback for i in s) for s in r.segmentations]
+            assert np.allclose([x.score for x in r.n_best], known)
