@@ -28,7 +28,7 @@ same members count once. That last step is quadratic in the members of a bucket
 the allocation's task to keep such buckets small.
 
 Nulls and texts without words have the empty set and link with nothing. Rows with equal doc_id count as
-one node for each different text. An empty table gives no rows. Further columns are ignored.
+one node for each different text, and so do rows with a null doc_id. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -349,7 +349,7 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFr
     made = docs.select("doc_id", "text", place.alias("p")).mapInArrow(sets, "doc_id long, cid long, shingles binary")
     # Not an equality: the join stays partitioned by cid alone, as what follows needs it.
     chosen = need.select("cid", F.col("doc_id").alias("rep"))
-    made = made.join(chosen, "cid").where("not (doc_id < rep or doc_id > rep)").dropDuplicates(["cid"]).select("cid", "shingles")
+    made = made.join(chosen, "cid").where("coalesce(not (doc_id < rep or doc_id > rep), doc_id is null and rep is null)").dropDuplicates(["cid"]).select("cid", "shingles")
     x = pairs.join(made.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
     both = x.join(made.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")

@@ -94,3 +94,11 @@ def test_components(spark):
     e = [(i, i + 1) for i in range(100, 140)] + [(5, 7), (7, 9), (9, 5), (50, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(e, "u long, v long")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 5 for i in (5, 7, 9, 50)}
+
+
+def test_a_null_id_bridges_two_documents(spark):
+    words = [f"w{i}" for i in range(60)]
+    late, both = words[:53] + [f"x{i}" for i in range(7)], [f"y{i}" for i in range(7)] + words[7:53] + [f"x{i}" for i in range(7)]
+    df = spark.createDataFrame([(3, " ".join(words)), (None, " ".join(late)), (9, " ".join(both))], DOCS)
+    assert run(df) == {3: (56, 3), None: (56, 3), 9: (56, 3)}
+    assert run(df.where("doc_id is not null")) == {3: (56, 3), 9: (56, 9)}
