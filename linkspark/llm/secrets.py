@@ -9,7 +9,7 @@ Platt calibration: midway between the highest one that keeps the wanted recall t
 a negative, and never under `least_score`.
 
 The training sample is bounded: the `train_docs` documents with findings, and as many without, of smallest
-hash. Every document is scanned as a whole. Null and empty texts have no findings; repeated rows are
+hash over all documents of up to 20000 characters. Every document is scanned as a whole. Null and empty texts have no findings; repeated rows are
 scanned alike; an empty table, or one without findings, adds no span to the base ones.
 """
 
@@ -202,9 +202,14 @@ def train(docs: DataFrame, train_docs: int = 300, recall: float = 0.95, least_sc
     """The network, or None where there are no findings. Copies of one text count once."""
     rows = docs.select("text").where("text is not null and length(text) <= 20000").select("text", F.xxhash64("text").alias("h"))
     likely = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    smallest = lambda part: part.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(train_docs).select("text")
-    # Hashes are uniform, so a slice of them bounds what is grouped before the exact cut.
-    with_secret, without = [x["text"] for x in smallest(rows.where(likely)).collect()], [x["text"] for x in smallest(rows.where((F.pmod("h", F.lit(64)) == 0) & ~likely)).collect()]
+
+    def smallest(part: DataFrame) -> list[str]:
+        """Texts of the train_docs smallest hashes; hashes are chosen alone, so that no other text travels."""
+        least = [x["h"] for x in part.select("h").distinct().orderBy("h").limit(train_docs).collect()]
+        texts = part.where(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text")).collect() if least else []
+        return [x["text"] for x in sorted(texts, key=lambda x: x["h"])]
+
+    with_secret, without = smallest(rows.where(likely)), smallest(rows.where(~likely))
     x, y = examples(with_secret + without)
     if y.sum() < 8 or y.sum() > len(y) - 8:
         return None

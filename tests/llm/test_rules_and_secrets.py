@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from linkspark.llm import piece_lattice as L
 from linkspark.llm import quality_rules as Q
@@ -122,6 +123,16 @@ def test_network_adds_findings_and_leaves_words(spark):
     assert hits(planted) >= 30 and hits(plain) <= 2
 
 
+def test_training_takes_as_many_clean_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "examples", lambda texts: seen.extend(texts) or (np.zeros((0, S.WIDTH), np.uint8), np.zeros(0)))
+    texts = [f"password=abcdef{i}" for i in range(30)] + [f"clean text {i}" for i in range(50)] + ["clean text 7"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    assert S.train(df, train_docs=25) is None
+    least = [r.text for r in df.where("text like 'clean%'").select("text").distinct().orderBy(F.xxhash64("text")).limit(25).collect()]
+    assert len(seen) == 50 and seen[25:] == least
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "a password=abcdef0123 b", 23), (2, None, 0)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in S.redact(df, None).orderBy("doc_id").collect()] == [(1, "a [secret] b", 12), (2, None, None)]
