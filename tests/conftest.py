@@ -14,9 +14,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 def spark(tmp_path_factory):
     from linkspark.session import local_session
 
-    s = local_session(4, 4, "4g")
+    s = local_session(4, 4, "4g", {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
