@@ -1,26 +1,78 @@
-"""Tables that cut lineage, kept in the folder that driver and executors share."""
+"""Tables that cut lineage, kept in the folder that driver and executors share.
+
+All tables of one application lie in one folder, <spark.checkpoint.dir>/linkspark-<application id>, which can go
+when the application has ended. What an operator needs only on its way is discarded by the operator.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own switch: the shuffle files of a query go when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir as the cluster names it. Where it is unset, a temporary folder serves a session
+    that is one process (tests); a cluster without it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="linkspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if "folder" not in _own:
+        _own["folder"] = tempfile.mkdtemp(prefix="linkspark-")
+        atexit.register(shutil.rmtree, _own["folder"], ignore_errors=True)
+    return _own["folder"]
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+class Scratch:
+    """The tables of one operator's run. Those that the result does not read go with discard()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/linkspark-{spark.sparkContext.applicationId}"
+        self.paths: dict[int, str] = {}
+
+    def stash(self, df: DataFrame, tag: str) -> DataFrame:
+        """Write df and read it back: later work starts from the files, so a lost executor costs a reread
+        instead of a recomputation. The write's shuffle files are of no further use and go with it."""
+        path = f"{self.root}/{tag}-{uuid.uuid4().hex}"
+        with _setting(self.spark, CLEANUP, "true"):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        out._scratch = self  # the frame's id stays its own while the frame lives
+        return out
+
+    def discard(self, *frames: DataFrame) -> None:
+        """Remove the files of stashed frames, through Spark's own writer, wherever they lie."""
+        for df in frames:
+            if path := self.paths.pop(id(df), None):
+                self.spark.range(0).write.mode("overwrite").parquet(path)
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later work starts from the files, so a lost
-    executor costs a reread instead of a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table that stays as long as the application."""
+    return Scratch(df.sparkSession).stash(df, tag)

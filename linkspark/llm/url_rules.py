@@ -85,11 +85,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH r(host, path, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
+rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages),
+cut AS (
+  SELECT page_id, split_part(split_part(coalesce(x, ''), '?', 1), '#', 1) AS x FROM rest),
 u AS (
-  SELECT page_id,
-    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}'), '') AS host,
-    coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path
-  FROM pages),
+  SELECT page_id, translate(split_part(x, '/', 1), '{UPPER}', '{LOWER}') AS host,
+    substr(x, length(split_part(x, '/', 1)) + 1) AS path
+  FROM cut),
 m AS (
   SELECT u.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
   FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
