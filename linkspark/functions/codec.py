@@ -628,6 +628,14 @@ def decode_canonical(link: str) -> str:
     return url
 
 
+def decode_leniently(link: str) -> tuple[str, bool]:
+    """(url, whether the link is the canonical one of that url)."""
+    try:
+        return decode_canonical(link), True
+    except CodecError:
+        return decode(link), False
+
+
 def materialize(pieces: list[Piece], seed: str = "") -> str:
     """Text of a piece sequence, by the kinds' own values; references copy from what is already there."""
     out = seed

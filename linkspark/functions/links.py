@@ -78,6 +78,39 @@ def try_decode_canonical(link: Column) -> Column:
     return _decoder(C.decode_canonical)(link)
 
 
+RESOLVED = "url string, canonical boolean, error string"
+_RESOLVED = pa.struct([("url", pa.string()), ("canonical", pa.bool_()), ("error", pa.string())])
+
+
+def resolve_link(link: Column) -> Column:
+    """struct(url, canonical, error): what a link stands for, whether it is the canonical link of that url, and
+    the canonical decoder's error text where it is not. One decoding a link."""
+
+    @F.arrow_udf(RESOLVED)
+    def run(links: pa.Array) -> pa.Array:
+        out = []
+        for x in links.to_pylist():
+            if x is None:
+                out.append(None)
+                continue
+            try:
+                out.append({"url": _utf8(C.decode_canonical(x)), "canonical": True, "error": None})
+            except C.CodecError as e:
+                try:
+                    out.append({"url": _utf8(C.decode(x)), "canonical": False, "error": str(e)})
+                except C.CodecError:
+                    out.append({"url": None, "canonical": False, "error": str(e)})
+        return pa.array(out, _RESOLVED)
+
+    return run(link)
+
+
+def encode_summary(code: Column) -> Column:
+    """The line that tells what a code saves."""
+    ratio = F.format_string("%.2f", (code["short_url_length"] / code["normalized_length"]).cast("double"))
+    return F.concat(F.lit("visible length: "), code["short_url_length"].cast("string"), F.lit("/"), code["normalized_length"].cast("string"), F.lit(" chars ("), ratio, F.lit("x)"))
+
+
 def decode_short_url(link: Column) -> Column:
     d = try_decode_short_url(link)
     return F.when(d["error"].isNotNull(), F.raise_error(d["error"])).otherwise(d["url"])

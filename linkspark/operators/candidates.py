@@ -174,5 +174,106 @@ def best(scored_counts: DataFrame, k: int = 512) -> DataFrame:
 
 
 def top_entries(counts: DataFrame, k: int, key: str = "candidate") -> DataFrame:
-    """The k most frequent keys; at the cut, equal counts keep the largest keys."""
-    return counts.orderBy(F.desc("n"), F.desc(key)).limit(k)
+    """The k most frequent keys, most frequent first and then by key; at the cut, equal counts keep the largest keys."""
+    return counts.orderBy(F.desc("n"), F.desc(key)).limit(k).orderBy(F.desc("n"), key)
+
+
+def best_descending(scored_counts: DataFrame, k: int) -> DataFrame:
+    """The older analysers' order: equal scores by candidate, largest first."""
+    return scored_counts.orderBy(F.desc("total_score"), F.desc("candidate")).limit(k)
+
+
+def first_by_rank(rows: DataFrame, key: str = "candidate", rank: str = "rank") -> DataFrame:
+    """Each key once, with its least rank."""
+    return rows.groupBy(key).agg(F.min(rank).alias(rank))
+
+
+# ------------------------------------------------------------------ what the older analysers offer
+
+
+def host_name(url: Column) -> Column:
+    """The host in lower case, without user and port."""
+    return F.lower(F.regexp_replace(F.regexp_replace(U.url_parts(url)["host"], r"(?s)^.*@", ""), r":[0-9]*\z", ""))
+
+
+def decoded_keys(query: Column, longest: int) -> Column:
+    """Query keys, decoded, of all non-empty parts, whether they have a value or not."""
+    parts = F.filter(F.split(query, "&"), lambda x: x != "")
+    raw = F.transform(parts, lambda x: F.substring_index(x, "=", 1))
+    return F.filter(F.transform(raw, lambda x: F.coalesce(F.try_url_decode(x), x)), lambda x: (x != "") & (F.length(x) <= longest))
+
+
+# Beginnings of links that the older analysers count.
+FAST_PREFIXES = ("http://", "http://www.", "https://", "https://www.", "www.")
+
+
+def variant_candidates(urls: DataFrame, fast: bool = True, url_col: str = "url") -> DataFrame:
+    """urls with the candidates of the older analysers, as often as they offer them.
+
+    fast: prefixes, suffixes of one to three labels, n-grams of the labels before the last two, segments and
+    keys as in with_candidates. Otherwise: suffixes of one to four labels, no n-grams, and only segments of 2 to
+    32 characters, endings of 2 to 8 and keys of up to 32.
+    """
+    body = U.compression_body(F.col(url_col))
+    p = urls.withColumn("_body", body).withColumn("_p", U.url_parts(F.col(url_col))).withColumn("_host", host_name(F.col(url_col)))
+    labels = F.when(F.col("_host") == "", F.array().cast("array<string>")).otherwise(F.split("_host", r"\."))
+    longest = LONGEST if fast else 32
+    p = p.withColumns({"_labels": labels, "_segments": F.filter(F.split("_p.path", "/"), lambda x: x != ""), "_keys": decoded_keys(F.col("_p.query"), longest)})
+    none, n = F.array().cast("array<string>"), F.size("_labels")
+    rooted = F.col("_p.path").startswith("/")
+    out = []
+    if fast:
+        out += [F.when(F.col("_body").startswith(x), F.array(F.lit(x))).otherwise(none) for x in FAST_PREFIXES]
+    else:
+        out.append(F.when(F.col("_body").startswith("http://"), F.array(F.lit("http://"))).otherwise(none))
+        www = F.col("_host").startswith("www.")
+        out.append(F.when(www, F.array(F.lit("www."))).otherwise(none))
+        out.append(F.when(www & F.col("_body").startswith("http://www."), F.array(F.lit("http://www."))).otherwise(none))
+    for k in range(1, 4 if fast else 5):
+        suffix = F.concat(F.lit("."), F.array_join(F.slice("_labels", F.greatest(n - k + 1, F.lit(1)), k), "."))
+        out.append(F.when((n >= k) & rooted, F.array(suffix, F.concat(suffix, F.lit("/")))).when(n >= k, F.array(suffix)).otherwise(none))
+    segments = F.col("_segments")
+    if fast:
+        segments = F.filter(segments, lambda x: F.length(x) <= LONGEST)
+        lead = F.slice("_labels", 1, F.greatest(n - 2, F.lit(0)))
+        out += [_runs(lead, k, lambda x: F.concat(F.array_join(x, "."), F.lit("."))) for k in (1, 2, 3, 4)]
+        every = F.concat(*out, path_candidates(segments), query_candidates(F.col("_keys")))
+    else:
+        fit = F.filter(segments, lambda x: F.length(x).between(2, 32))
+        ending = F.filter(F.transform(segments, lambda x: F.regexp_extract(x, r"(?s)^.+(\.[^.]+)\z", 1)), lambda x: F.length(x).between(2, 8))
+        led = [fit, F.transform(fit, lambda x: F.concat(F.lit("/"), x)), F.transform(fit, lambda x: F.concat(F.lit("/"), x, F.lit("/")))]
+        every = F.concat(*out, *led, ending, *(_led(F.col("_keys"), c) for c in ("?", "&", "")))
+    return p.withColumn("candidates", every).drop("_body", "_p", "_host", "_labels", "_segments", "_keys")
+
+
+# ------------------------------------------------------------------ what the model generator refuses
+
+# Suffixes, site-less labels and common segments of the model generator.
+MODEL_SUFFIXES = (
+    "com", "org", "net", "gov", "edu", "co", "ac", "uk", "au", "jp", "de", "fr", "ca", "us", "mil", "info", "io",
+    "tv", "ie", "nz", "nl", "se", "ru", "it", "in", "br", "cn", "es", "eu", "za",
+)
+MODEL_LABELS = (
+    "www", "m", "mobile", "api", "docs", "news", "books", "maps", "search", "support", "help", "blog", "cdn",
+    "static", "assets", "images", "data", "download", "downloads", "ftp", "mail",
+)
+MODEL_SEGMENTS = (
+    "news", "search", "article", "articles", "index.php", "cgi-bin", "books", "archive", "archives", "story",
+    "stories", "content", "view", "page", "pages", "watch", "wiki", "images", "files", "sports", "music", "reviews",
+    "about", "data", "results", "html", "pdf",
+)
+
+
+def is_usable_entry(c: Column) -> Column:
+    """Whether the model generator takes a candidate: ASCII, no registered domain, no path of one site."""
+    labels = F.split(F.regexp_replace(F.trim(c, F.lit("/")), r"^\.", ""), r"\.")
+    n = F.size(labels)
+    two = (n >= 3) & (F.octet_length(F.try_element_at(labels, F.lit(-1))) == 2) & F.coalesce(_among(F.try_element_at(labels, F.lit(-2)), U.SECOND_LEVEL), F.lit(False))
+    tail = F.when(two, 2).otherwise(1)
+    after = F.slice(labels, F.greatest(n - tail + 1, F.lit(1)), tail)
+    name = F.try_element_at(labels, F.greatest(n - tail, F.lit(1)))
+    domain = (n >= 2) & (n > tail) & F.forall(labels, lambda x: x != "") & F.forall(after, lambda x: _among(x, MODEL_SUFFIXES)) & ~_among(name, MODEL_LABELS)
+    segments = F.filter(F.split(c, "/"), lambda x: x != "")
+    common = F.filter(segments, lambda x: _among(x, MODEL_SEGMENTS) | x.rlike(r"^[0-9]+\z"))
+    narrow = c.startswith("/") & (F.size(segments) >= 2) & (F.size(common) < F.size(segments))
+    return (c != "") & ~c.rlike(r"[^\x00-\x7F]") & ~domain & ~narrow

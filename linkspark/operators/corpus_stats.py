@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -95,15 +95,13 @@ def with_heldout(urls: DataFrame, row_col: str = "row_no", every: int = 1, heldo
     return kept.withColumn("heldout", (F.col("ordinal") % heldout_every == 0) if heldout_every else F.lit(False))
 
 
-@F.pandas_udf(DecimalType(20, 0))
-def heldout_key(row: pd.Series) -> pd.Series:
+@F.arrow_udf(DecimalType(20, 0))
+def heldout_key(row: pa.Array) -> pa.Array:
     """A 64-bit hash of the row number: additive step and two multiply-xor rounds, unsigned."""
-    x = row.to_numpy().astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = row.to_numpy(zero_copy_only=False).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    import decimal
-
-    return pd.Series([decimal.Decimal(int(v)) for v in x ^ (x >> np.uint64(31))])
+    return pa.array(x ^ (x >> np.uint64(31))).cast(pa.decimal128(20, 0))
 
 
 def bottom_k(rows: DataFrame, k: int, row_col: str = "row_no") -> DataFrame:

@@ -5,6 +5,7 @@ CATALOG maps a name to (query, sql); sql is None where SQL cannot express the re
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from ..functions import urls as U
 from ..operators import candidates as K
 from ..operators import corpus_stats as S
 from ..operators import selection as X
+from ..sources import analytics as A
 from ..sources import corpus as R
 from ..streaming import traffic as T
 
@@ -40,8 +42,13 @@ def training(spark: SparkSession, d: str) -> DataFrame:
     return S.with_heldout(pages(spark, d).withColumn("row_no", F.col("page_id") + 1)).where("not heldout")
 
 
-def heldout(spark: SparkSession, d: str) -> DataFrame:
-    return S.with_heldout(pages(spark, d).withColumn("row_no", F.col("page_id") + 1)).where("heldout")
+def numbered(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).withColumn("row_no", F.col("page_id") + 1)
+
+
+def heldout(spark: SparkSession, d: str, bodies: int = 20_000) -> DataFrame:
+    """The held-out links of smallest hash key: what candidates are scored on is bounded."""
+    return S.bottom_k(S.with_heldout(numbered(spark, d)).where("heldout"), bodies)
 
 
 def sql_list(values) -> str:
@@ -162,6 +169,21 @@ def url_weight(spark, d):
     return pages(spark, d).select("page_id", U.url_weight(F.col("url")).alias("weight"))
 
 
+@listed(f"""SELECT page_id, CAST(6 * length(b) + 7 * length(regexp_replace(b, '[abcdefghijklmnopqrstuvwxyz0123456789._/?&=:@+,$-]', '', 'g')) AS BIGINT) AS old_bits,
+  CAST(6 * length(b) + 7 * length(regexp_replace(b, '[abcdefghijklmnopqrstuvwxyz0123456789._/?&=:@+%#-]', '', 'g')) AS BIGINT) AS fast_bits FROM (SELECT page_id, {BODY} AS b FROM pages)""")
+def literal_bits_variants(spark, d):
+    b = U.compression_body(F.col("url"))
+    return pages(spark, d).select("page_id", U.literal_bits(b, U.CHEAP_48).cast("long").alias("old_bits"), U.literal_bits(b, U.CHEAP_48_FAST).cast("long").alias("fast_bits"))
+
+
+@listed("""WITH e AS (SELECT page_id, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS u FROM pages)
+SELECT page_id, '<!doctype html><html lang="en"><head><meta charset="UTF-8" /><title>link.example compressed URL</title><meta name="description" content="This URL was compressed using link.example, your destination: ' || u ||
+  '" /><meta property="og:title" content="link.example compressed URL" /><meta property="og:description" content="This URL was compressed using link.example, your destination: ' || u ||
+  '" /><meta property="og:type" content="website" /></head><body><p><a href="' || u || '">' || u || '</a></p></body></html>' AS page FROM e""")
+def embed_pages(spark, d):
+    return pages(spark, d).select("page_id", U.embed_page(F.col("url"), "link.example").alias("page"))
+
+
 @listed("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM documents")
 def escape_html(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", U.escape_html(F.col("text")).alias("escaped"))
@@ -253,6 +275,20 @@ def heldout_bottom_k(spark, d):
     return S.bottom_k(rows, 40).select("page_id", F.col("hash_key").cast("string").alias("hash_key"))
 
 
+@listed("SELECT page_id, CAST(page_id + 1 AS BIGINT) AS row_no FROM pages")
+def numbered_rows(spark, d):
+    """Rows of several partitions in order of page_id get gapless numbers."""
+    ordered = pages(spark, d).select("page_id").repartitionByRange(4, "page_id").sortWithinPartitions("page_id")
+    return R.numbered(ordered)
+
+
+@listed("""WITH RECURSIVE t(lo, hi, way) AS (SELECT 0, 100, '' UNION ALL
+  SELECT CASE WHEN s = '1' THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN s = '1' THEN (lo + hi) // 2 ELSE hi END, way || s FROM t, (VALUES ('1'), ('2')) v(s) WHERE lo < hi)
+SELECT CAST(row_number() OVER (ORDER BY way) - 1 AS BIGINT) AS turn, CAST((lo + hi) // 2 AS BIGINT) AS chunk FROM t WHERE lo < hi""")
+def chunk_visit_order(spark, d):
+    return spark.createDataFrame(list(enumerate(R.binary_visit_order(100))), "turn long, chunk long")
+
+
 @listed("SELECT DISTINCT CAST(round_even(i * 99 / 29.0, 0) AS BIGINT) AS position FROM range(30) t(i)")
 def shard_even_sample(spark, d):
     return S.even_positions(spark, 100, 30)
@@ -289,6 +325,65 @@ def top_entries(spark, d):
     return K.top_entries(mined(spark, d), 25)
 
 
+@listed(MINED + " SELECT candidate, n, CAST(saved_bits AS BIGINT) AS saved_bits, CAST(total_score AS BIGINT) AS total_score FROM scored ORDER BY total_score DESC, candidate DESC LIMIT 40")
+def scored_descending(spark, d):
+    return K.best_descending(K.scored(mined(spark, d)), 40)
+
+
+def variant_sql(fast: bool) -> str:
+    """What the older analysers offer, by lists."""
+    host = "lower(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''))"
+    keyed = "list_filter(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: url_decode(replace(split_part(x, '=', 1), '+', ' '))), lambda x: x <> '' AND length(x) <= {})"
+    if fast:
+        lead = [f"CASE WHEN starts_with(body, '{p}') THEN ['{p}'] ELSE [] END" for p in K.FAST_PREFIXES]
+    else:
+        lead = ["CASE WHEN starts_with(body, 'http://') THEN ['http://'] ELSE [] END", "CASE WHEN starts_with(h, 'www.') THEN ['www.'] || CASE WHEN starts_with(body, 'http://www.') THEN ['http://www.'] ELSE [] END ELSE [] END"]
+    ends = [f"CASE WHEN len(lab) >= {k} THEN ['.' || array_to_string(lab[len(lab) - {k - 1} :], '.')] || CASE WHEN starts_with(path, '/') THEN ['.' || array_to_string(lab[len(lab) - {k - 1} :], '.') || '/'] ELSE [] END ELSE [] END" for k in range(1, 4 if fast else 5)]
+    dotted = "list_filter(list_transform({0}, lambda x: regexp_extract(x, '^.+([.][^.]+)$', 1)), lambda x: {1})"
+    if fast:
+        rest = [runs("sub", n, "", ".", ".") for n in (1, 2, 3, 4)] + ["seg", dotted.format("seg", "x <> ''")]
+        rest += [runs("seg", n, "/", "/", a) for n in (1, 2, 3, 4, 5) for a in ("", "/")] + [runs("ks", n, "?", "=&", "=") for n in (2, 3, 4)]
+    else:
+        fit = "list_filter(seg, lambda x: length(x) BETWEEN 2 AND 32)"
+        rest = [fit, f"list_transform({fit}, lambda x: '/' || x)", f"list_transform({fit}, lambda x: '/' || x || '/')", dotted.format("seg", "length(x) BETWEEN 2 AND 8")]
+    rest += [runs("ks", 1, b, "", "=") for b in ("?", "&", "")]
+    segments = "list_filter(string_split(path, '/'), lambda x: x <> '' AND length(x) <= 80)" if fast else "list_filter(string_split(path, '/'), lambda x: x <> '')"
+    return f"""WITH {PARTS}, v0 AS (SELECT {BODY} AS body, path, {host} AS h, {segments} AS seg, {keyed.format(80 if fast else 32)} AS ks FROM u4),
+v1 AS (SELECT *, CASE WHEN h = '' THEN [] ELSE string_split(h, '.') END AS lab FROM v0), v2 AS (SELECT *, lab[1 : greatest(len(lab) - 2, 0)] AS sub FROM v1),
+v3 AS (SELECT flatten([{", ".join(lead + ends + rest)}]) AS c FROM v2)
+SELECT candidate, count(*) AS n FROM (SELECT unnest(c) AS candidate FROM v3) GROUP BY 1"""
+
+
+def _variant(name: str, fast: bool):
+    def q(spark, d):
+        offered = K.variant_candidates(pages(spark, d).select("url"), fast)
+        return offered.select(F.explode("candidates").alias("candidate")).groupBy("candidate").agg(F.count("*").alias("n"))
+
+    q.__name__ = name
+    listed(variant_sql(fast))(q)
+
+
+_variant("variant_candidates_fast", True)
+_variant("variant_candidates_old", False)
+
+USABLE = f"""w0 AS (SELECT *, string_split(regexp_replace(trim(candidate, '/'), '^[.]', ''), '.') AS mlab, list_filter(string_split(candidate, '/'), lambda x: x <> '') AS mseg FROM {{0}}),
+w1 AS (SELECT *, CASE WHEN len(mlab) >= 3 AND strlen(mlab[-1]) = 2 AND mlab[-2] IN ('co', 'ac', 'gov', 'com', 'org', 'net') THEN 2 ELSE 1 END AS mt FROM w0),
+usable AS (SELECT * EXCLUDE (mlab, mseg, mt) FROM w1 WHERE candidate <> '' AND strlen(candidate) = length(candidate)
+  AND NOT (len(mlab) >= 2 AND len(mlab) > mt AND len(list_filter(mlab, lambda x: x = '')) = 0 AND len(list_filter(mlab[len(mlab) - mt + 1 :], lambda x: x NOT IN {sql_list(K.MODEL_SUFFIXES)})) = 0 AND mlab[len(mlab) - mt] NOT IN {sql_list(K.MODEL_LABELS)})
+  AND NOT (starts_with(candidate, '/') AND len(mseg) >= 2 AND len(list_filter(mseg, lambda x: x IN {sql_list(K.MODEL_SEGMENTS)} OR regexp_full_match(x, '[0-9]+'))) < len(mseg)))"""
+
+
+@listed("WITH " + CANDIDATES + ",\n" + USABLE.format("counts") + " SELECT candidate, n FROM usable")
+def generator_filter(spark, d):
+    return mined(spark, d).where(K.is_usable_entry(F.col("candidate")))
+
+
+@listed(f"SELECT candidate, CAST(min(rank) AS BIGINT) AS rank FROM (VALUES {', '.join(f'({sql_list([v])}, {i})' for i, v in enumerate((*M.SHARED, *M.VIDEO, *M.DICTIONARY, *M.PRIMARY)))}) AS t(candidate, rank) GROUP BY 1")
+def first_by_rank(spark, d):
+    rows = list(enumerate((*M.SHARED, *M.VIDEO, *M.DICTIONARY, *M.PRIMARY)))
+    return K.first_by_rank(spark.createDataFrame(rows, "rank long, candidate string"))
+
+
 @listed(MINED + " SELECT candidate, n, reason FROM judged WHERE reason IS NOT NULL ORDER BY n DESC, candidate DESC LIMIT 25")
 def rejected_top(spark, d):
     return K.top_entries(K.judged(mined(spark, d)).where("reason is not null"), 25)
@@ -308,7 +403,12 @@ def minimum_support(spark, d):
     return mined(spark, d).where("n >= 5 and length(candidate) >= 2")
 
 
-@listed(POOL + f""", top AS (SELECT candidate, row_number() OVER (ORDER BY total_score DESC, candidate) AS rank FROM pool), c(candidate, k) AS (VALUES {", ".join(f"('{v}', {i})" for i, v in enumerate(M.EXTENDED[5:20]))}),
+# The entries that are always wanted.
+CURATED = """('github.', 0), ('gitlab.', 1), ('bitbucket.', 2), ('/tree/', 3), ('/blob/', 4), ('/issues/', 5), ('/pull/', 6), ('/commit/', 7),
+('/releases/', 8), ('/src/', 9), ('/docs/', 10), ('x.com/', 11), ('twitter.com/', 12), ('/status/', 13), ('/statuses/', 14)"""
+
+
+@listed(POOL + f""", top AS (SELECT candidate, row_number() OVER (ORDER BY total_score DESC, candidate) AS rank FROM pool), c(candidate, k) AS (VALUES {CURATED}),
 extra AS (SELECT candidate, row_number() OVER (ORDER BY k) AS j FROM c WHERE candidate NOT IN (SELECT candidate FROM top)), n AS (SELECT count(*) AS x FROM extra), t AS (SELECT count(*) AS total FROM top)
 SELECT candidate, CAST(CASE WHEN rank <= 16 THEN rank ELSE rank + x END AS BIGINT) AS rank FROM top, n UNION ALL SELECT candidate, CAST(least(16, total) + j AS BIGINT) FROM extra, t""")
 def curated_merge(spark, d):
@@ -317,6 +417,24 @@ def curated_merge(spark, d):
     return merge_curated(pool(spark, d))
 
 
+@listed(
+    POOL
+    + ",\n"
+    + USABLE.format("pool")
+    + f""", c(candidate, k) AS (VALUES {CURATED}), top AS (SELECT candidate, row_number() OVER (ORDER BY total_score DESC, candidate) AS rank FROM usable),
+extra AS (SELECT candidate, row_number() OVER (ORDER BY k) AS j FROM c WHERE candidate NOT IN (SELECT candidate FROM top)), n AS (SELECT count(*) AS x FROM extra), t AS (SELECT count(*) AS total FROM top),
+ranks AS (SELECT candidate, CASE WHEN rank <= 16 THEN rank ELSE rank + x END AS r FROM top, n UNION ALL SELECT candidate, least(16, total) + j FROM extra, t),
+chars AS (SELECT key, count(*) AS n FROM (SELECT unnest(string_split({BODY}, '')) AS key FROM pages) WHERE key <> '' AND key <> '`' AND strlen(key) = 1 GROUP BY 1),
+lit AS (SELECT key, row_number() OVER (ORDER BY n DESC, key) AS r FROM chars QUALIFY r <= 48), p AS (SELECT 59 - count(*) AS k FROM lit)
+SELECT 'literal' AS tier, CAST(r - 1 AS BIGINT) AS id, key AS value FROM lit
+UNION ALL SELECT CASE WHEN r <= k THEN 'primary' ELSE 'extended' END, CAST(CASE WHEN r <= k THEN r - 1 ELSE r - k - 1 END AS BIGINT), candidate FROM ranks, p WHERE r <= k + 128"""
+)
+def model_tables(spark, d):
+    from ..plans.training import build_model
+
+    return build_model(S.char_counts(pages(spark, d)), pool(spark, d))
+
+
 @listed(POOL + ", t AS (SELECT candidate, row_number() OVER (ORDER BY total_score DESC, candidate) AS r FROM pool) SELECT candidate, CASE WHEN r <= 11 THEN 'primary' ELSE 'extended' END AS tier, CAST(CASE WHEN r <= 11 THEN r - 1 ELSE r - 12 END AS BIGINT) AS id FROM t WHERE r <= 139")
 def budget_partition(spark, d):
     from ..plans.training import partition_budget, ranked
@@ -346,26 +464,44 @@ def initial_net_score(spark, d):
 
 @listed()
 def select_dictionary(spark, d, bodies=20_000):
-    return X.select_dictionary(pool(spark, d), S.bottom_k(heldout(spark, d), bodies)).where("kind = 'selected'").drop("kind")
+    return X.select_dictionary(pool(spark, d), heldout(spark, d, bodies)).where("kind = 'selected'").drop("kind")
 
 
 @listed()
 def shadowed_tokens(spark, d, bodies=20_000):
-    return X.select_dictionary(pool(spark, d), S.bottom_k(heldout(spark, d), bodies)).where("kind = 'shadowed'").select("rank", "candidate", "n", F.col("gain").alias("initial_net"), F.col("net_score").alias("final_net"))
+    return X.select_dictionary(pool(spark, d), heldout(spark, d, bodies)).where("kind = 'shadowed'").select("rank", "candidate", "n", F.col("gain").alias("initial_net"), F.col("net_score").alias("final_net"))
 
 
 # ------------------------------------------------------------------ sources
 
 
-@listed(f"WITH {PARTS} SELECT page_id, lower(scheme) || '://' || lower(array_to_string(labels, '.')) || substr(rest0, length(host) + 1) AS url FROM (SELECT *, substr(url, length(scheme) + 4) AS rest0 FROM parts)")
-def externallinks_roundtrip(spark, d):
+def dump_lines(spark, d, broken: bool = False) -> DataFrame:
+    """Lines of a dump, seven tuples each; broken ones lack the integers of every fifth."""
     p = pages(spark, d).select("page_id", "url", U.url_parts(F.col("url")).alias("p"))
     index = F.concat("p.scheme", F.lit("://"), F.array_join(F.reverse(U.host_labels(F.col("p.host"))), "."), F.lit("."))
     path = F.replace(U.after(F.col("url"), F.length("p.scheme") + 3 + F.length("p.host")), F.lit("'"), F.lit("\\'"))
-    line = F.concat(F.lit("INSERT INTO `externallinks` VALUES ("), F.col("page_id").cast("string"), F.lit(",1,'"), index, F.lit("','"), path, F.lit("');"))
-    lines = p.select("page_id", line.alias("value"))
-    at = F.regexp_extract_all("value", F.lit(R.TUPLE), 3)[0], F.regexp_extract_all("value", F.lit(R.TUPLE), 4)[0]
-    return lines.select("page_id", U.domain_index_url(R.unescape_sql(at[0]), R.unescape_sql(at[1])).alias("url"))
+    ids = F.when(F.lit(broken) & (F.col("page_id") % 5 == 0), F.lit(",")).otherwise(F.concat(F.col("page_id").cast("string"), F.lit(",1")))
+    row = F.concat(F.lit("("), ids, F.lit(",'"), index, F.lit("','"), path, F.lit("')"))
+    lines = p.select(F.floor(F.col("page_id") / 7).alias("line"), row.alias("row")).groupBy("line").agg(F.array_join(F.collect_list("row"), ",").alias("rows"))
+    return lines.select(F.concat(F.lit("INSERT INTO `externallinks` VALUES "), "rows", F.lit(";")).alias("value"))
+
+
+LOWERED = f"WITH {PARTS} SELECT lower(scheme) || '://' || lower(array_to_string(labels, '.')) || substr(rest0, length(host) + 1) AS url FROM (SELECT *, substr(url, length(scheme) + 4) AS rest0 FROM parts)"
+
+
+@listed(LOWERED)
+def externallinks_roundtrip(spark, d):
+    return R.externallinks_urls(dump_lines(spark, d))
+
+
+@listed(LOWERED)
+def externallinks_lenient(spark, d):
+    return R.externallinks_urls(dump_lines(spark, d, broken=True))
+
+
+@listed(LOWERED + " WHERE page_id % 5 <> 0")
+def externallinks_strict(spark, d):
+    return R.externallinks_urls(dump_lines(spark, d, broken=True), strict=True)
 
 
 @listed("SELECT url FROM pages")
@@ -456,6 +592,53 @@ def compression_ratio_by_length_bucket(spark, d):
     return c.groupBy("from_length").agg(F.count("*").alias("links"), F.round(F.sum("payload_length") / F.sum("normalized_length"), 4).alias("ratio"))
 
 
+@listed(f"SELECT page_id, page_id % 3 <> 1 AS canonical, normalized_url AS url FROM ({NORMAL})")
+def decode_for_ui(spark, d):
+    """Canonical or not, a link that decodes gives its url."""
+    v1, v0, cjk = (L.try_encode_url(F.col("url"), **o)["short_url"] for o in ({}, {"version": "0"}, {"cjk": True}))
+    coded = pages(spark, d).select("page_id", F.when(F.col("page_id") % 3 == 0, v1).when(F.col("page_id") % 3 == 1, v0).otherwise(cjk).alias("link"))
+    found = coded.select("page_id", L.resolve_link(F.col("link")).alias("r"))
+    return found.select("page_id", "r.canonical", "r.url")
+
+
+@listed()
+def encode_summaries(spark, d):
+    return pages(spark, d).select("page_id", L.try_encode_url(F.col("url")).alias("c")).select("page_id", L.encode_summary(F.col("c")).alias("summary"))
+
+
+DICTIONARY_VALUES = ", ".join(f"('{t}', {i}, '{v}')" for t, vs in (("primary", M.PRIMARY), ("extended", M.EXTENDED)) for i, v in enumerate(vs))
+
+
+@listed(f"""WITH m(tier, id, value) AS (VALUES {DICTIONARY_VALUES}), b AS (SELECT {BODY} AS body FROM pages)
+SELECT tier, id, value, count(body) AS links, CAST(coalesce(sum((length(body) - length(replace(body, value, ''))) // length(value)), 0) AS BIGINT) AS occurrences FROM m LEFT JOIN b ON contains(body, value) GROUP BY ALL""")
+def dictionary_coverage(spark, d):
+    from ..plans.report import coverage
+
+    return coverage(pages(spark, d), M.dimension_tables(spark)["model_dictionary"])
+
+
+TOP = "SELECT '{0}' AS section, key, n FROM ({1}) ORDER BY n DESC, key DESC LIMIT {2}"
+
+
+@listed(
+    " UNION ALL ".join(
+        f"SELECT * FROM ({TOP.format(title, CATALOG[name][1], k)})"
+        for title, name, k in (("Schemes", "scheme_counts", 20), ("Top TLDs", "tld_counts", 50), ("Top path segments", "path_segment_counts", 30), ("Top query keys", "query_key_counts", 30))
+    )
+    + f" UNION ALL SELECT * FROM (SELECT 'Top body characters' AS section, key, n FROM ({CATALOG['char_counts'][1]}) WHERE strlen(key) = 1 AND key <> '`' ORDER BY n DESC, key LIMIT 30)"
+)
+def report_sections(spark, d):
+    """The report's tables, from statistics of two halves of the corpus that are summed."""
+    from ..plans import report as G
+
+    parts = [G.corpus_stats(numbered(spark, d).where(F.col("page_id") % 2 == k)) for k in (0, 1)]
+    stats = G.merged(parts[0].unionByName(parts[1]))
+    out = G.characters(stats, 30).withColumn("section", F.lit("Top body characters"))
+    for title, stat, k in G.SECTIONS:
+        out = out.unionByName(G.section(stats, stat, k or 30).withColumn("section", F.lit(title)))
+    return out.select("section", "key", "n")
+
+
 @listed(f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'asset' WHEN page_id % 5 = 1 THEN 'app' WHEN page_id % 5 = 2 THEN 'error' WHEN page_id % 5 = 3 THEN 'embed' ELSE 'redirect' END AS action, CAST(CASE WHEN page_id % 5 = 2 THEN 400 WHEN page_id % 5 = 4 THEN 302 ELSE 200 END AS INTEGER) AS status, CASE WHEN page_id % 5 >= 3 THEN normalized_url END AS target FROM ({NORMAL})")
 def route_requests(spark, d):
     v1, v0 = L.try_encode_url(F.col("url"))["short_url"], L.try_encode_url(F.col("url"), version="0")["short_url"]
@@ -503,11 +686,64 @@ def daily_views(spark, d):
     return T.daily(requests(spark, d)).withColumn("day", F.to_date("day"))
 
 
-@listed("SELECT '/' || event_type AS path, count(*) AS views FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) - INTERVAL 7 DAY FROM events) GROUP BY 1")
+@listed("""WITH e AS (SELECT max(ts) AS e FROM events) SELECT CAST(8 - ceil((epoch_us(e) - epoch_us(ts)) / 86400000000.0) AS BIGINT) AS day, count(*) AS views
+FROM events, e WHERE event_type <> 'view' AND ts < e AND ts >= e - INTERVAL 7 DAY GROUP BY 1""")
 def seven_day_views(spark, d):
-    r = requests(spark, d)
-    start = r.agg((F.date_trunc("day", F.max("ts")) - F.expr("interval 7 days")).alias("start"))
-    return r.crossJoin(F.broadcast(start)).where("ts >= start").groupBy("path").agg(F.count("*").alias("views"))  # one row
+    """Visits that count in the seven windows of a day that end with the last event; views stand for requests of
+    the counter itself, which do not."""
+    r = requests(spark, d).withColumn("path", F.when(F.col("path") == "/view", "/api/views").otherwise(F.col("path")))
+    end = r.agg(F.max("ts").alias("end"))
+    return T.views_before(r.crossJoin(F.broadcast(end)), F.col("end"))  # one row
+
+
+def analytics_lines(spark, d, limit: int = 40) -> DataFrame:
+    """A day's requests a line, as the analytics service answers: the `limit` largest groups."""
+    r = requests(spark, d).withColumn("host", F.when(F.col("event_id") % 4 == 0, "other.example").otherwise("link.example")).withColumn("day", F.to_date("ts"))
+    groups = r.groupBy("day", "host", "path", "status").agg(F.count("*").alias("n"))
+    dimensions = F.struct(F.col("host").alias("clientRequestHTTPHost"), F.col("path").alias("clientRequestPath"), F.col("status").alias("edgeResponseStatus"))
+    by_day = groups.groupBy("day").agg(F.collect_list(F.struct(F.col("n").alias("count"), dimensions.alias("dimensions"))).alias("groups"))
+    return by_day.select(F.to_json(F.struct(F.col("day").cast("string").alias("start"), F.date_add("day", 1).cast("string").alias("end"), "groups")).alias("value"))
+
+
+DAYS = "d AS (SELECT CAST(ts AS DATE) AS day, '/' || event_type AS path, user_id % 3 * 100 + 200 AS status, CASE WHEN event_id % 4 = 0 THEN 'other.example' ELSE 'link.example' END AS host FROM events)"
+
+
+@listed(f"WITH {DAYS}, g AS (SELECT day, host, path, status, count(*) AS n FROM d GROUP BY ALL) SELECT CAST(day AS VARCHAR) AS start, CAST(CAST(day + INTERVAL 1 DAY AS DATE) AS VARCHAR) AS end, count(*) AS groups, count(*) >= 30 AS truncated FROM g GROUP BY day")
+def analytics_windows(spark, d):
+    return A.window_summary(A.parsed_windows(analytics_lines(spark, d)), limit=30)
+
+
+@listed(f"""WITH {DAYS}, g AS (SELECT path, status, count(*) AS n FROM d WHERE host = 'link.example' GROUP BY ALL)
+SELECT path, CAST(sum(n) AS BIGINT) AS count, '{{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}}' AS statuses FROM g GROUP BY path""")
+def visited_paths(spark, d):
+    counts = A.request_counts(A.parsed_windows(analytics_lines(spark, d)), "link.example")
+    return A.visited_paths(T.path_status_rollup(counts))
+
+
+@listed(f"WITH {DAYS} SELECT count(*) AS views FROM d WHERE host = 'link.example'")
+def analytics_views(spark, d):
+    return A.views(A.parsed_windows(analytics_lines(spark, d)), "link.example")
+
+
+@listed("""WITH e AS (SELECT min(ts) AS a, max(ts) AS b FROM events), s AS (SELECT b, unnest(range(a, b, INTERVAL 1 DAY)) AS w FROM e)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, strftime(least(w + INTERVAL 1 DAY, b), '%Y-%m-%d %H:%M:%S') AS end FROM s""")
+def day_windows(spark, d):
+    a, b = requests(spark, d).agg(F.min("ts").cast("string"), F.max("ts").cast("string")).first()
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return A.day_windows(spark, a, b).select(text("start"), text("end"))
+
+
+@listed("SELECT CAST(NULL AS BIGINT) AS unbound, max(event_id) AS bound, CAST(0 AS BIGINT) AS unknown FROM events WHERE event_type = 'view'")
+def views_endpoint(spark, d):
+    """The counter's value as requests see it, after upserts in three batches."""
+    folder = f"{T._shared(requests(spark, d))}/counters-{uuid.uuid4().hex}"
+    sink = T.counter_sink(f"{folder}/now", f"{folder}/then")
+    u = requests(spark, d).select(F.substring("path", 2, 99).alias("key"), F.col("event_id").alias("value"), F.col("event_id").cast("timestamp").alias("updated_at"))
+    for i, part in enumerate((u.where("value % 3 = 0"), u.where("value % 3 = 1"), u.where("value % 3 = 2"))):
+        largest = T.latest(u.where(F.col("value") % 3 <= i))  # a counter only grows
+        sink(part.limit(0).unionByName(largest.select("key", "value", "updated_at")), i)
+    one, two, three = (T.views_endpoint(spark, t, k).withColumnRenamed("views", n) for t, k, n in ((None, "view", "unbound"), (f"{folder}/now", "view", "bound"), (f"{folder}/now", "nothing", "unknown")))
+    return one.crossJoin(two).crossJoin(three)  # one row each
 
 
 @listed("""WITH w AS (SELECT '/' || event_type AS path, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS e, count(*) AS n FROM events GROUP BY 1, 2)

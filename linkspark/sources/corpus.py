@@ -6,7 +6,7 @@ dropped, as bulk analysis wants; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import domain_index_url
@@ -14,6 +14,8 @@ from ..functions.urls import domain_index_url
 FORMATS = ("externallinks", "cdxj", "plain")
 #: One tuple of a dump line: two integers, two quoted strings with backslash escapes.
 TUPLE = r"\(([0-9]*),([0-9]*),'((?:\\.|[^'\\])*)','((?:\\.|[^'\\])*)'"
+#: The same where both integers and the closing bracket must be there.
+STRICT_TUPLE = r"\(([0-9]+),([0-9]+),'((?:\\.|[^'\\])*)','((?:\\.|[^'\\])*)'\)"
 _ESCAPES = (("0", "\x00"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("t", "\t"), ("Z", "\x1a"))
 
 
@@ -30,17 +32,18 @@ def unescape_sql(text: Column) -> Column:
     return F.array_join(parts, "\\")
 
 
-def externallinks_rows(lines: DataFrame) -> DataFrame:
-    """domain_index, path of every tuple of INSERT lines."""
+def externallinks_rows(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """domain_index, path of every tuple of INSERT lines; strict skips tuples without integers or closing bracket."""
+    form = F.lit(STRICT_TUPLE if strict else TUPLE)
     hits = lines.where(F.col("value").startswith("INSERT INTO"))
-    at = F.posexplode(F.regexp_extract_all("value", F.lit(TUPLE), 3)).alias("i", "d")
-    paths = F.regexp_extract_all("value", F.lit(TUPLE), 4)
+    at = F.posexplode(F.regexp_extract_all("value", form, 3)).alias("i", "d")
+    paths = F.regexp_extract_all("value", form, 4)
     rows = hits.select(paths.alias("paths"), at).select("d", F.element_at("paths", F.col("i") + 1).alias("p"))
     return rows.select(unescape_sql(F.col("d")).alias("domain_index"), unescape_sql(F.col("p")).alias("path"))
 
 
-def externallinks_urls(lines: DataFrame) -> DataFrame:
-    rows = externallinks_rows(lines)
+def externallinks_urls(lines: DataFrame, strict: bool = False) -> DataFrame:
+    rows = externallinks_rows(lines, strict)
     return rows.select(domain_index_url(F.col("domain_index"), F.col("path")).alias("url")).where("url is not null")
 
 
@@ -67,6 +70,19 @@ def read_corpus(spark: SparkSession, path: str, form: str = "externallinks") ->
     raise ValueError(f"unknown corpus format {form!r}; known are {', '.join(FORMATS)}")
 
 
+def numbered(rows: DataFrame, name: str = "row_no") -> DataFrame:
+    """rows with a gapless number from 1, in the order of partitions and of rows in them.
+
+    Two passes: the rows of each partition are counted (one number a partition reaches the driver's plan),
+    then each row adds its place to the sum of the partitions before. The input must be read alike both times,
+    as files are; a shuffled frame should be written first.
+    """
+    at = rows.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id() % (1 << 33))
+    counts = at.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return at.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
+
 def binary_visit_order(n: int) -> list[int]:
     """Chunk numbers with the middle first, then the middles of both halves, and so on in depth."""
     order, todo = [], [(0, n)]

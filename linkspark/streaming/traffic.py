@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import links as L
@@ -24,12 +25,11 @@ def route(raw_url: Column, agent: Column) -> Column:
     # Requests carry no fragment; a query belongs to the payload.
     tail = F.regexp_extract(raw_url, r"^[^:]+://[^/?#]*([^#]*)", 1)
     payload = U.payload_surface(tail)["payload"]
-    canonical = L.try_decode_canonical(F.when((at != "") & (payload != ""), tail))
-    plain = L.try_decode_short_url(F.when((at != "") & (payload != ""), tail))
-    found = canonical["url"].isNotNull()
-    action = F.when((at == "") | (payload == ""), "asset").when(found & U.is_preview_agent(agent), "embed").when(found, "redirect").when(plain["url"].isNotNull(), "app").otherwise("error")
+    link = L.resolve_link(F.when((at != "") & (payload != ""), tail))
+    found = F.coalesce(link["canonical"], F.lit(False))
+    action = F.when((at == "") | (payload == ""), "asset").when(found & U.is_preview_agent(agent), "embed").when(found, "redirect").when(link["url"].isNotNull(), "app").otherwise("error")
     status = F.when(action == "redirect", 302).when(action == "error", 400).otherwise(200)
-    location = F.when(action.isin("redirect", "embed"), canonical["url"]).when(action == "error", canonical["error"])
+    location = F.when(action.isin("redirect", "embed"), link["url"]).when(action == "error", link["error"])
     return F.struct(action.alias("action"), status.alias("status"), location.alias("location"), U.counts_as_visit(path).alias("counted"))
 
 
@@ -39,6 +39,13 @@ def path_status_rollup(requests: DataFrame) -> DataFrame:
     return by.groupBy("path").agg(F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("statuses"))
 
 
+def views_before(events: DataFrame, end: Column, days: int = 7) -> DataFrame:
+    """day (1 the earliest), views: visits that count, in the `days` windows of a day that end with `end`."""
+    age = (F.unix_micros(end) - F.unix_micros("ts")) / 86_400_000_000
+    inside = events.where(U.counts_as_visit(F.col("path")) & (age > 0) & (age <= days))
+    return inside.groupBy((F.lit(days + 1) - F.ceil(age)).cast("long").alias("day")).agg(F.count("*").alias("views"))
+
+
 def daily(events: DataFrame, ts: str = "ts") -> DataFrame:
     return events.groupBy("path", F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("views")).select("path", F.col("w.start").alias("day"), "views")
 
@@ -64,27 +71,72 @@ def latest(updates: DataFrame) -> DataFrame:
     return updates.groupBy("key").agg(last).select("key", F.col("last.value").alias("value"), F.col("last.updated_at").alias("updated_at"))
 
 
+def _shared(events: DataFrame) -> str:
+    shared = events.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise RuntimeError("name a checkpoint folder, or set spark.checkpoint.dir")
+    return shared.rstrip("/")
+
+
 def stream_daily(events: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
     """Run a stream of events (path, ts) to its present end, however long it takes; the table of its daily counts.
-    A failed stream raises. State goes to `checkpoint`, else to a new folder in spark.checkpoint.dir if that is set."""
+
+    Windows are kept by the watermark and written as the complete result of each batch, the last of which
+    counts. A failed stream raises. State goes to `checkpoint`, else to a new folder in spark.checkpoint.dir.
+    """
     spark = events.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not checkpoint and shared:
-        checkpoint = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    writer = daily(events.withWatermark("ts", "1 day")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    q = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    q.awaitTermination()
-    return spark.table(name)
+    checkpoint = checkpoint or f"{_shared(events)}/{name}-{uuid.uuid4().hex}"
+    counts = daily(events.withWatermark("ts", "1 day"))
+    table = f"{checkpoint}/table"
+    writer = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{table}/batch={i}")).trigger(availableNow=True)
+    writer.option("checkpointLocation", checkpoint).start().awaitTermination()
+    return last_version(spark, table, counts.schema, "batch")
+
+
+def last_version(spark: SparkSession, table: str, schema, name: str) -> DataFrame:
+    """The rows of the highest numbered version of a table; empty where none has been written."""
+    try:
+        every = spark.read.parquet(table)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    newest = every.agg(F.max(name)).first()[0]
+    return every.where(F.col(name) == newest).drop(name)
+
+
+COUNTERS = "key string, value long, updated_at timestamp"
+
+
+def read_counters(spark: SparkSession, table: str) -> DataFrame:
+    """The counters as of the last version that was written whole."""
+    return last_version(spark, table, spark.createDataFrame([], COUNTERS).schema, "version")
 
 
 def counter_sink(counters: str, history: str):
-    """A foreachBatch function: overwrites the counters' table, appends to their history.
+    """A foreachBatch function for batches of key, value, updated_at: an upsert of the counters, and a snapshot.
 
-    A repeated batch writes the same counters and a history file of the same name, so it adds nothing twice.
+    The present counters and the batch are merged, the batch winning, into a new version, which readers see
+    when it is whole. Keys without news stay. A repeated batch writes its version and its snapshot again,
+    so it adds nothing twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(counters)
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
+        spark = batch.sparkSession
+        try:
+            old = spark.read.parquet(counters).where(F.col("version") < batch_id)
+            newest = old.agg(F.max("version")).first()[0]
+            old = old.where(F.col("version") == newest).drop("version")
+        except AnalysisException:
+            old = spark.createDataFrame([], COUNTERS)
+        news = latest(batch.select("key", "value", "updated_at"))
+        kept = old.join(news.select("key"), "key", "left_anti")
+        kept.unionByName(news).write.mode("overwrite").parquet(f"{counters}/version={batch_id}")
+        news.withColumnRenamed("updated_at", "created_at").write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
 
     return write
+
+
+def views_endpoint(spark: SparkSession, table: str | None, key: str = "views") -> DataFrame:
+    """One row: the counter's value; null where no table is bound, 0 where the key has not been counted."""
+    if table is None:
+        return spark.range(1).select(F.lit(None).cast("long").alias("views"))
+    return read_counters(spark, table).where(F.col("key") == key).agg(F.coalesce(F.max("value"), F.lit(0)).cast("long").alias("views"))

@@ -112,3 +112,63 @@ def test_packing_helps():
     link = "https://example.com/events/2026-05-28T03:14:15.123Z/details"
     assert len(C.encode(link).payload) < len(C.encode(link, how=C.Parsing(numbers=False)).payload)
     assert len(C.encode(VIDEO).payload) < len(C.encode(VIDEO, how=C.Parsing(share=False, routes=False)).payload)
+
+
+@pytest.mark.parametrize(
+    "link",
+    [
+        "https://youtube.com/watch?v=dQw4w9WgXcQ",
+        "https://soundcloud.com/aphex-twin/windowlicker",
+        "https://open.spotify.com/track/6rqhFgbbKwnb9MLmUQDhG6?si=abc123",
+        "https://github.com/someone/some-project/issues/123",
+        "https://docs.google.com/document/d/1abcdEFGhijkLMNOPqrstUVwxyz/edit?usp=sharing",
+        "https://stackoverflow.com/questions/12345678/how-to-do-the-thing",
+    ],
+)
+def test_shared_links_are_shorter_with_their_tables(link):
+    c = C.encode(link, cjk=True)
+    assert len(c.payload) < len(C.encode(link, cjk=True, how=C.Parsing(share=False, routes=False)).payload) and C.decode(c.short_url) == link
+
+
+@pytest.mark.parametrize(
+    "link, off",
+    [
+        ("https://example.com/blog/2026/05/28/how-to-build-things", {"numbers": False}),
+        ("https://example.com/items/550e8400-e29b-41d4-a716-446655440000", {"dictionary": False}),
+        ("https://example.com/redirect?to=https%3A%2F%2Fexample.org%2Ffoo%3Fx%3D1", {"dictionary": False}),
+    ],
+)
+def test_structured_text_is_shorter(link, off):
+    assert len(C.encode(link).payload) < len(C.encode(link, how=C.Parsing(**off)).payload)
+
+
+def test_pieces_and_costs_of_known_texts():
+    """Kinds, sizes and bits by the format's widths: the parse, not only the round trip."""
+    known = {
+        "youtube.com/watch?v=dQw4w9WgXcQ": [("youtube", 31, 81)],
+        "550e8400-e29b-41d4-a716-446655440000": [("uuid", 36, 142)],
+        "2026-05-28T03:14:15.123Z": [("datetime", 24, 58)],
+        "2026/05/28": [("date", 10, 31)],
+        "18446744073709551615": [("u64", 20, 76)],
+        "%3A%2F%2F": [("percent", 9, 44)],
+        "www.": [("dict", 4, 6)],
+        "page": [("dict", 4, 13)],
+        "a94a8fe5ccb19ba61c4cd873": [("hex", 24, 116)],
+        "漢字仮": [("cjk", 3, 64)],
+        "~~~~": [("lit", 1, 13)] + [("ref", 3, 15)],
+        "ea": [("lit", 1, 6), ("lit", 1, 6)],
+    }
+    for text, want in known.items():
+        assert [(p.kind, p.size, p.cost) for p in C.parse(C.units(text))] == want, text
+
+
+def test_equal_costs_take_the_earlier_kind():
+    """One literal and a run of ten cost as much as a run of eleven; the literal comes first."""
+    got = [(p.kind, p.size) for p in C.parse("dQw4w9WgXcQ")]
+    assert got == [("lit", 1), ("base64url", 10)]
+
+
+def test_lenient_decoding():
+    assert C.decode_leniently(C.encode(VIDEO).short_url) == (VIDEO, True) and C.decode_leniently(OLD) == (VIDEO, False)
+    with pytest.raises(C.CodecError):
+        C.decode_leniently("https://link.example/1/A")

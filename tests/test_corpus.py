@@ -1,5 +1,6 @@
 """Sources, candidate filter, selection, model artifact and traffic on small inputs."""
 
+import json
 import uuid
 from pathlib import Path
 
@@ -98,11 +99,18 @@ def test_counters(spark, tmp_path):
     counts = spark.createDataFrame([("a", 3), ("b", 9)], "key string, value long")
     seeds = spark.createDataFrame([("a", 7), ("c", 1)], "key string, value long")
     assert {r.key: r.value for r in T.seeded(counts, seeds).collect()} == {"a": 7, "b": 9, "c": 1}
-    sink = T.counter_sink(str(tmp_path / "now"), str(tmp_path / "then"))
-    for i in (0, 1, 1):
-        sink(counts, i)
-    assert spark.read.parquet(str(tmp_path / "now")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "then")).count() == 4
+    at = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    now, then = str(tmp_path / "now"), str(tmp_path / "then")
+    assert T.read_counters(spark, now).count() == 0 and T.views_endpoint(spark, None, "a").first().views is None
+    assert T.views_endpoint(spark, now, "a").first().views == 0
+    sink = T.counter_sink(now, then)
+    sink(counts.withColumn("updated_at", at), 0)
+    news = spark.createDataFrame([("b", 10), ("b", 12), ("d", 1)], "key string, value long").withColumn("updated_at", at)
+    for _ in (1, 2):  # a batch that comes again changes nothing
+        sink(news, 1)
+        assert {r.key: r.value for r in T.read_counters(spark, now).collect()} == {"a": 3, "b": 12, "d": 1}
+    assert T.views_endpoint(spark, now, "b").first().views == 12
+    assert sorted((r.batch, r.key, r.value) for r in spark.read.parquet(then).collect()) == [(0, "a", 3), (0, "b", 9), (1, "b", 12), (1, "d", 1)]
 
 
 def test_routes(spark):
@@ -124,6 +132,10 @@ def test_stream_runs_to_its_end(spark, tmp_path, monkeypatch):
     events = spark.readStream.schema("path string, ts timestamp").parquet(str(tmp_path / "in"))
     name = f"waits_{uuid.uuid4().hex}"
     assert [(r.path, r.views) for r in T.stream_daily(events, name).collect()] == [("/a", 7)]
+    empty = spark.createDataFrame([], "path string, ts timestamp")
+    empty.write.parquet(str(tmp_path / "none"))
+    none = spark.readStream.schema("path string, ts timestamp").parquet(str(tmp_path / "none"))
+    assert T.stream_daily(none, f"none_{uuid.uuid4().hex}").count() == 0
     (state,) = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob(f"{name}-*")
     assert (state / "commits").is_dir()
 
@@ -145,3 +157,110 @@ def test_selection_takes_the_smallest_hash_keys(spark):
     for name, kind in (("select_dictionary", "selected"), ("shadowed_tokens", "shadowed")):
         want = {(r.rank, r.candidate) for r in X.select_dictionary(pool, spark.createDataFrame(least, "url string, row_no long")).where(f"kind = '{kind}'").collect()}
         assert {(r.rank, r.candidate) for r in getattr(catalog, name)(spark, d, bodies=3).collect()} == want
+
+
+def test_numbers_are_gapless_over_partitions_and_files(spark, tmp_path):
+    for i, n in enumerate((3, 0, 5, 2)):
+        (tmp_path / f"part-{i}").write_text("".join(f"{i}:{j}\n" for j in range(n)))
+    rows = R.numbered(spark.read.option("minPartitionNum", 4).text(str(tmp_path))).collect()
+    assert sorted(r.row_no for r in rows) == list(range(1, 11))
+    for i in range(4):  # a file's lines stay in their order, next to each other
+        own = [r.row_no for r in sorted(rows, key=lambda r: r.value) if r.value.startswith(f"{i}:")]
+        assert own == list(range(own[0], own[0] + len(own))) if own else True
+
+
+def test_strict_tuples(spark):
+    line = "INSERT INTO `externallinks` VALUES (,,'http://org.a.','/x'),(1,2,'http://org.b.','/y'),(3,4,'http://org.c.','/z'"
+    urls = lambda strict: sorted(r.url for r in R.externallinks_urls(lines(spark, line), strict).collect())
+    assert urls(False) == ["http://a.org/x", "http://b.org/y", "http://c.org/z"] and urls(True) == ["http://b.org/y"]
+
+
+def test_what_the_generator_refuses(spark):
+    want = {"example.com": False, ".com/": True, "www.co.uk": True, "shop.example.co.uk/": False, "/a/b": False, "/news/2024/": True, "/news": True, "é": False, "": False, "a..com": True, "/x/1": False, "docs.python": True}
+    df = spark.createDataFrame([(c,) for c in want], "candidate string")
+    assert {r.candidate: r.ok for r in df.select("candidate", K.is_usable_entry(F.col("candidate")).alias("ok")).collect()} == want
+
+
+def test_older_candidates(spark):
+    from collections import Counter
+
+    df = spark.createDataFrame([("http://www.A.b.co.uk:80/x/yy.html?k%31=1&flag",)], "url string")
+    got = {f: Counter(x for r in K.variant_candidates(df, f).collect() for x in r.candidates) for f in (True, False)}
+    assert got[True]["?k1="] == got[True]["flag="] == 1 and got[True]["?k1=&flag="] == 1 and got[True][".uk/"] == 1
+    assert got[True]["http://www."] == 1 and got[True]["www."] == 1 and got[True]["b."] == 1 and got[True]["www.a.b."] == 1 and got[True]["/x/yy.html/"] == 1
+    assert got[False]["http://www."] == got[False]["www."] == 1 and got[False]["x"] == 0 and got[False]["yy.html"] == 1 and got[False][".b.co.uk/"] == 1
+    assert got[False][".html"] == 1 and got[False]["b."] == 0
+
+
+def test_report_reads_back(spark):
+    from linkspark.plans import report as G
+
+    urls = [f"https://example{i % 3}.com/news/item{i}?page={i}&reference=newsletter-of-the-week" for i in range(600)] + ["http://b.org/it's\\`"]
+    numbered = spark.createDataFrame([(u, i + 1) for i, u in enumerate(urls)], "url string, row_no long")
+    text = G.corpus_report(numbered, top=20)
+    assert "- Rows seen: 601" in text and "- Training held-out URLs: 60" in text
+    assert P.read_section(text, "Schemes") == [("https", "600"), ("http", "1")]
+    chars = {r.value: r.n for r in P.report_characters(spark, text).collect()}
+    assert chars["e"] > 60 and "`" not in chars
+    top = P.report_candidates(spark, text).collect()
+    assert top and all(r.total_score == r.n * r.saved_bits for r in top) and len(top) <= 20
+    chosen = P.report_selected(spark, text).collect()
+    assert chosen and all(abs(r.gain - r.cost_bits - r.net_score) < 0.11 for r in chosen)
+    assert P.escaped("\\") == "\\\\" and P.escaped("\t'") == "\\t\\'" and P.escaped("\x01") == "\\u{1}"
+
+
+def test_partial_reports_add_up(spark, tmp_path):
+    from linkspark.plans import report as G
+
+    urls = spark.range(90).selectExpr("concat('https://h', id % 4, '.net/a/', id) AS url", "id + 1 AS row_no")
+    urls.where("row_no <= 40").coalesce(1).write.parquet(str(tmp_path / "in"))
+    urls.where("row_no > 40").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("url string, row_no long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    G.stream_report(stream, str(tmp_path / "state"), str(tmp_path / "report"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report.partial"), wholetext=True).collect())
+    assert "- Rows seen: 90" in text and P.read_section(text, "Schemes") == [("https", "90")]
+    assert "Selected dictionary entries" not in text and len(list((tmp_path / "state" / "tables").glob("batch=*"))) == 2
+    whole = {tuple(r) for r in G.corpus_stats(urls).collect()}
+    assert {tuple(r) for r in G.merged(spark.read.schema(G.STATS).parquet(str(tmp_path / "state" / "tables"))).collect()} == whole
+
+
+def test_model_tables_round_trip(spark, tmp_path):
+    chars = spark.createDataFrame([(chr(97 + i % 26) if i < 26 else chr(0x4E00 + i), 100 - i) for i in range(60)] + [("`", 500)], "key string, n long")
+    entries = spark.createDataFrame([(f"c{i:03d}/", 5, 1000 - i) for i in range(200)] + [("c000/", 5, 1), ("example.com", 9, 5000)], "candidate string, n long, total_score long")
+    model = P.build_model(chars, entries)
+    P.write_tables(model, str(tmp_path / "m"))
+    t = P.read_tables(spark, str(tmp_path / "m"))
+    assert t["literal"] == tuple(chr(97 + i) for i in range(26)) and len(t["primary"]) == 33 and len(t["extended"]) == 128
+    assert t["primary"][:2] == ("c000/", "c001/") and t["primary"][16:31] == P.CURATED and "example.com" not in t["primary"]
+
+
+def test_analytics_files(spark, tmp_path):
+    from linkspark.sources import analytics as A
+
+    group = lambda h, p, s, n: {"count": n, "dimensions": {"clientRequestHTTPHost": h, "clientRequestPath": p, "edgeResponseStatus": s}}
+    days = [{"start": "2026-01-01", "end": "2026-01-02", "groups": [group("me", "/1/a", 302, 5), group("me", "/1/a", 400, 2), group("you", "/1/a", 302, 9)]}, {"start": "2026-01-02", "end": "2026-01-03", "groups": [group("me", "/api/views", 200, 7), group("me", "/1/a", 302, 1)]}]
+    (tmp_path / "w.json").write_text("".join(json.dumps(d) + "\n" for d in days))
+    windows = A.read_windows(spark, str(tmp_path / "w.json"))
+    assert [r.truncated for r in A.window_summary(windows, 3).orderBy("start").collect()] == [True, False]
+    rollup = T.path_status_rollup(A.request_counts(windows, "me"))
+    assert [tuple(r) for r in A.visited_paths(rollup).orderBy("path").collect()] == [("/1/a", 8, '{"302":6,"400":2}'), ("/api/views", 7, '{"200":7}')]
+    assert A.views(windows, "me").first().views == 8 and A.views(windows, "nobody").first().views == 0
+    A.write_visited_paths(rollup, windows, str(tmp_path / "out"), 3)
+    assert spark.read.json(str(tmp_path / "out/paths")).count() == 2 and spark.read.json(str(tmp_path / "out/windows")).count() == 2
+    got = [(str(r.start), str(r.end)) for r in A.day_windows(spark, "2026-01-01 06:00:00", "2026-01-03 00:00:00").collect()]
+    assert got == [("2026-01-01 06:00:00", "2026-01-02 06:00:00"), ("2026-01-02 06:00:00", "2026-01-03 00:00:00")]
+    assert A.day_windows(spark, "2026-01-01 00:00:00", "2026-01-01 00:00:00").count() == 0
+
+
+def test_links_resolve_once_for_all_uses(spark):
+    from linkspark.functions import codec as C
+    from linkspark.functions import links as L
+
+    url = "https://example.com/x"
+    rows = [(C.encode(url).short_url, url, True), (C.encode(url, "0").short_url, url, False), ("https://link.example/1/A", None, False), (None, None, None)]
+    df = spark.createDataFrame(rows, "link string, url string, canonical boolean")
+    for r in df.select("url", "canonical", L.resolve_link(F.col("link")).alias("r")).collect():
+        assert r.r is None if r.canonical is None else (r.r.url, r.r.canonical, r.r.error is None) == (r.url, r.canonical, r.canonical)
+    summary = spark.createDataFrame([(url,)], "u string").select(L.encode_summary(L.try_encode_url(F.col("u")))).first()[0]
+    c = C.encode(url)
+    assert summary == f"visible length: {c.short_url_length}/{c.normalized_length} chars ({c.short_url_length / c.normalized_length:.2f}x)"
