@@ -25,6 +25,14 @@ def label_sample(labels: DataFrame, label: str, mod: int, rest: int, most: dict[
     return sample, size
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 

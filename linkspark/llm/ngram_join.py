@@ -18,8 +18,9 @@ these are its signatures. A set also enters the next lower band if a partner may
   checked for every document) uses single tokens as its segments instead, where that cannot happen.
 
 Candidates are verified on the whole sets, so links are exact up to equality of 64-bit hashes. Before the
-sets travel, pairs are dropped whose histograms over SKETCH bins of the universe already differ by more than
-the bound: the sum of differences of counts never exceeds the number of differing tokens. Identical
+sets travel, pairs are dropped whose histograms over the universe already differ by more than the bound: the
+sum of differences of counts never exceeds the number of differing tokens. A histogram has about a bin for
+four tokens, so it is a few dozen bytes for most documents. Identical
 sets are one node throughout; their copies are never paired. A bucket of up to `pair_limit` different
 sets gives all its pairs. A larger one first gives stars, each round with another centre; after those links
 are known, its members that are still in different components are compared pair by pair inside the task
@@ -27,15 +28,17 @@ that holds them, in blocks of bounded size, and only pairs that pass size and hi
 same members count once. That last step is quadratic in the members of a bucket that do not link, so it is
 the allocation's task to keep such buckets small.
 
+No key gathers a group in one task. Signatures whose shingles are all found in SPLIT_FROM texts or more are dealt
+by document, not by signature, and their buckets go straight to the stars; members of large buckets are
+dealt by bucket and part (`parts` of about BLOCK members), and what is known of a bucket is sent to each part.
+
 Nulls and texts without words have the empty set and link with nothing. Rows with equal doc_id count as
 one node for each different text, and so do rows with a null doc_id. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import itertools
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +46,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .scratch import stash
+from .components import components, joined
+from .scratch import Scratch
 from .textvec import blocks, mix, segment_sum, shingle_sets
 
 _U = np.uint64
@@ -52,8 +55,14 @@ _U = np.uint64
 BANDS = np.array([3, 6] + [12 << i for i in range(40)], np.int64)
 #: Bands that begin lower have single tokens as segments.
 SEGMENTED_FROM = 96
-BLOOM_BITS = 1 << 23
-SKETCH = 1024
+#: Largest and smallest number of bins of a histogram.
+SKETCH, LEAST_SKETCH = 1024, 16
+#: Signatures of shingles that so many texts share are dealt by document, in buckets of SPLIT parts.
+SPLIT_FROM, SPLIT = 1_000_000, 512
+#: Members of one part of a large bucket.
+BLOCK = 1500
+#: Documents to verify up to which a Bloom filter of 16 bits each picks them (32 MB at most); beyond, a join does.
+BLOOM_MOST = 1 << 24
 
 
 def content_ids(borders: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -102,11 +111,11 @@ class Hot:
         return out
 
 
-def signatures(borders: np.ndarray, h: np.ndarray, hot: Hot, single: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of all rows of a block."""
+def signatures(borders: np.ndarray, h: np.ndarray, hot: Hot, single: frozenset[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, how many texts share its rarest shingle, as far as known) of all rows of a block."""
     n = np.diff(borders)
     own = np.searchsorted(BANDS, n, "right") - 1
-    rows, sigs = [], []
+    rows, sigs, heats = [], [], []
     for band in range(int(own.max(initial=-1)) + 1):
         top = int(BANDS[band + 1])
         here = own == band
@@ -123,6 +132,12 @@ def signatures(borders: np.ndarray, h: np.ndarray, hot: Hot, single: frozenset[i
             whole = segment_sum(x, np.concatenate(([0], np.cumsum(size))))
             rows += [take, take[local]]
             sigs += [mix(whole), mix(whole[local] - x)]
+            heat, from_ = hot.of(tokens), np.concatenate(([0], np.cumsum(size)[:-1]))
+            least = np.minimum.reduceat(heat, from_)
+            others = heat.copy()  # without one token of the least, the least is the next
+            others[np.unique(np.where(heat == least[local], local, -1), return_index=True)[1][-len(take) :]] = 1 << 62
+            lone = (heat == least[local]) & (np.bincount(local, heat == least[local])[local] == 1)
+            heats += [least, np.where(lone, np.minimum.reduceat(others, from_)[local], least[local])]
             continue
         own_row, content, width, first, order = subsets(band, segments_of(band, single), local, tokens)
         heat = hot.of(tokens)[order]
@@ -134,9 +149,10 @@ def signatures(borders: np.ndarray, h: np.ndarray, hot: Hot, single: frozenset[i
         keep = np.arange(len(pick)) - start[own_row] < quota[own_row]
         rows.append(take[own_row[keep]])
         sigs.append(content[pick[keep]])
+        heats.append(cost[pick[keep]])
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    return np.concatenate(rows), np.concatenate(sigs)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(sigs), np.concatenate(heats)
 
 
 def short_of_segments(borders: np.ndarray, h: np.ndarray) -> set[int]:
@@ -160,9 +176,27 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 
 def sketches(borders: np.ndarray, h: np.ndarray) -> list[bytes]:
-    """Counts of each row's tokens by bin, held at 255; equal counts below stay exact lower bounds."""
-    bins = (h >> _U(54)).astype(np.int64)
-    return [np.minimum(np.bincount(bins[a:b], minlength=SKETCH), 255).astype(np.uint8).tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
+    """Counts of each row's tokens by the leading bits of their hashes, held at 255; sums and differences of
+    such counts stay lower bounds."""
+    bits = np.clip(np.ceil(np.log2(np.maximum(np.diff(borders), 1) / 4)).astype(int), LEAST_SKETCH.bit_length() - 1, SKETCH.bit_length() - 1)
+    return [np.minimum(np.bincount((h[a:b] >> _U(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes() for a, b, k in zip(borders[:-1].tolist(), borders[1:].tolist(), bits.tolist(), strict=True)]
+
+
+def folded(sketch: list[bytes], bins: int) -> np.ndarray:
+    """Histograms of one size, brought to `bins` by adding neighbours."""
+    return np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), bins, -1).sum(2, dtype=np.int16)
+
+
+def gaps(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """Sum of differences of each pair of histograms, at the coarser one's bins."""
+    size = np.array([list(map(len, one)), list(map(len, two))], np.int64).reshape(2, -1)
+    out = np.zeros(size.shape[1], np.int64)
+    for a, b in np.unique(size, axis=1).T.tolist():
+        at = np.flatnonzero((size[0] == a) & (size[1] == b))
+        for i in range(0, len(at), 4000):
+            some, bins = at[i : i + 4000], min(a, b)
+            out[some] = np.abs(folded([one[k] for k in some], bins) - folded([two[k] for k in some], bins)).sum(1, dtype=np.int64)
+    return out
 
 
 class Fresh:
@@ -180,7 +214,7 @@ class Fresh:
         return new
 
 
-def frequent_shingles(docs: DataFrame, k: int, share: float = 0.001, most: int = 131_072, summary: int = 500_000) -> tuple[Hot, frozenset[int]]:
+def frequent_shingles(docs: DataFrame, work: Scratch, k: int, share: float = 0.001, most: int = 131_072, summary: int = 500_000) -> tuple[Hot, frozenset[int]]:
     """Shingles that at least `share` of a partition's different texts have, up to `most` of them by count,
     and the bands that need single tokens. A partition keeps at most `summary` counters."""
 
@@ -204,26 +238,17 @@ def frequent_shingles(docs: DataFrame, k: int, share: float = 0.001, most: int =
         yield pa.RecordBatch.from_arrays([_i64(keys[keep]), pa.array(counts[keep]), pa.nulls(int(keep.sum()), pa.int32())], names=["shingle", "n", "band"])
         yield pa.RecordBatch.from_arrays([pa.nulls(len(bands), pa.int64()), pa.nulls(len(bands), pa.int64()), pa.array(sorted(bands), pa.int32())], names=["shingle", "n", "band"])
 
-    found = stash(docs.select("text").mapInArrow(run, "shingle long, n long, band int"), "frequent")
+    found = work.stash(docs.select("text").mapInArrow(run, "shingle long, n long, band int"), "frequent")
     top = found.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(most).toPandas()
     single = frozenset(r[0] for r in found.where("band is not null").select("band").distinct().collect())
     return Hot(top["shingle"].to_numpy(np.int64).view(_U), top["n"].to_numpy(np.int64)), single
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that have been written out. Python's handles go
-    first, then the JVM's; the cleaner works beside the query."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def candidate_rows(docs: DataFrame, k: int, hot: Hot, single: frozenset[int], pair_limit: int) -> DataFrame:
-    """a, b, residual: candidate pairs of content ids, or (bucket, content id) of large buckets.
+    """a, b, parts: candidate pairs of content ids (no parts), or (bucket, content id) of large buckets.
 
-    Signatures travel as packed arrays, one row a batch and part, so no row is made for a signature.
+    Signatures travel as packed arrays, one row a batch and part, so no row is made for a signature. Within a
+    part 32 bits tell them apart: a chance collision adds a candidate, which verification drops.
     """
     spark = docs.sparkSession
     n_shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -232,56 +257,63 @@ def candidate_rows(docs: DataFrame, k: int, hot: Hot, single: frozenset[int], pa
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = Fresh()
         for batch in batches:
-            sig, cid = [], []
+            sig, cid, heat = [np.zeros(0, _U)], [np.zeros(0, _U)], [np.zeros(0, np.int64)]
             for block in blocks(batch.column(0)):
                 borders, h = shingle_sets(block, k)
                 c = content_ids(borders, h)
                 new = fresh.of(c)
                 n = np.diff(borders)
                 h = h[np.repeat(new, n)]
-                row, s = signatures(np.concatenate(([0], np.cumsum(n * new))), h, hot, single)
+                row, s, f = signatures(np.concatenate(([0], np.cumsum(n * new))), h, hot, single)
                 sig.append(s)
                 cid.append(c[row])
-            s, c = np.concatenate(sig or [np.zeros(0, _U)]), np.concatenate(cid or [np.zeros(0, _U)])
-            part = (mix(s) % _U(parts)).astype(np.int64)
+                heat.append(f)
+            s, c, split = np.concatenate(sig), np.concatenate(cid), np.concatenate(heat) >= SPLIT_FROM
+            # Parts from `parts` on hold signatures that are dealt by document.
+            part = np.where(split, parts + (mix(c) % _U(parts)).astype(np.int64), (mix(s) % _U(parts)).astype(np.int64))
             order = np.argsort(part, kind="stable")
-            s, c, cut = s[order], c[order], np.searchsorted(part[order], np.arange(parts + 1))
+            s, c, cut = s[order], c[order], np.searchsorted(part[order], np.arange(2 * parts + 1))
             full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int64()), pa.array([np.concatenate((s[cut[p] : cut[p + 1]], c[cut[p] : cut[p + 1]])).tobytes() for p in full], pa.binary())], names=["part", "packed"]
-            )
+            short = [(s[cut[p] : cut[p + 1]] if p >= parts else s[cut[p] : cut[p + 1]].astype("<u4")).tobytes() for p in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([c[cut[p] : cut[p + 1]].tobytes() + x for p, x in zip(full, short, strict=True)], pa.binary())], names=["part", "packed"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        halves = []
+        sigs, cids, splits = [], [], []
         for batch in batches:
-            for x in batch.column(1):
-                halves.append(np.frombuffer(x.as_buffer(), _U).reshape(2, -1).copy())
-        if not halves:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.uint8)
+                n = len(x) // (16 if p >= parts else 12)
+                cids.append(x[: 8 * n].view(_U).copy())
+                sigs.append(x[8 * n :].view(_U).copy() if p >= parts else x[8 * n :].view("<u4").astype(_U) | _U(p << 32))
+                splits.append(np.full(n, p >= parts))
+        if not sigs:
             return
-        s, c = np.concatenate(halves, axis=1)
-        halves.clear()
-        order = np.lexsort((c, s))
-        s, c = s[order], c[order]
+        s, c, split = np.concatenate(sigs), np.concatenate(cids), np.concatenate(splits)
+        del sigs, cids, splits
+        order = np.lexsort((c, s, split))
+        s, c, split = s[order], c[order], split[order]
         new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-        s, c = s[new], c[new]
-        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (split[1:] != split[:-1])
+        s, c, split = s[new], c[new], split[new]
+        first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (split[1:] != split[:-1]))))
         size = np.diff(np.append(first, len(s)))
-        first, size = first[size > 1], size[size > 1]
+        split = split[first]
         pairs = []
-        small = first[size <= pair_limit], size[size <= pair_limit]
+        small = (size > 1) & (size <= pair_limit) & ~split
+        small = first[small], size[small]
         for i in range(pair_limit):
             for j in range(i + 1, pair_limit):
                 f = small[0][small[1] > j]
                 pairs.append(np.stack((c[f + i], c[f + j])))
-        f, n = first[size > pair_limit], size[size > pair_limit]
-        if len(f):  # buckets of the same members count once
+        large = (size > pair_limit) | split
+        f, n, split = first[large], size[large], split[large]
+        who, n_parts = s[f], np.where(split, SPLIT, -(-n // BLOCK))
+        if len(f):  # buckets of the same members count once, where all members are here
             ends = np.stack((f, f + n), 1).ravel()
-            who = np.add.reduceat(np.append(mix(c), _U(0)), ends)[::2] + n.astype(_U)
+            same = np.add.reduceat(np.append(mix(c), _U(0)), ends)[::2] + n.astype(_U)
+            who = np.where(split, mix(who ^ _U(0x94D049BB133111EB)), same)
             who, keep = np.unique(who, return_index=True)
-            f, n = f[keep], n[keep]
-        else:
-            who = f.astype(_U)
+            f, n, n_parts = f[keep], n[keep], n_parts[keep]
         at = np.repeat(f - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
         lead = np.repeat(c[f], n)
         pairs.append(np.stack((lead, c[at]))[:, c[at] != lead])
@@ -291,12 +323,14 @@ def candidate_rows(docs: DataFrame, k: int, hot: Hot, single: frozenset[int], pa
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        for x, y, kind in ((a[new], b[new], False), (np.repeat(who, n).view(np.int64), c[at].view(np.int64), True)):
+        a, b = a[new], b[new]
+        for x, y, z in ((a, b, None), (np.repeat(who, n).view(np.int64), c[at].view(np.int64), np.repeat(n_parts, n))):
             for i in range(0, len(x), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]), pa.array(y[i : i + 100_000]), pa.array(np.full(len(x[i : i + 100_000]), kind))], names=["a", "b", "residual"])
+                some = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]), pa.array(y[some]), pa.nulls(len(x[some]), pa.int64()) if z is None else pa.array(z[some])], names=["a", "b", "parts"])
 
     packed = docs.select("text").mapInArrow(emit, "part long, packed binary")
-    return packed.repartition(n_shuffle, "part").mapInArrow(meet, "a long, b long, residual boolean")
+    return packed.repartition(n_shuffle, "part").mapInArrow(meet, "a long, b long, parts long")
 
 
 def may_link(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -304,10 +338,7 @@ def may_link(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (2, 3))
-            gap = np.zeros(len(batch), np.int64)
-            for i in range(0, len(batch), 2000):
-                gap[i : i + 2000] = np.abs(x[i : i + 2000].astype(np.int16) - y[i : i + 2000]).sum(1)
+            gap = gaps(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield batch.select([0, 1]).filter(pa.array(7 * gap <= batch.column(4).to_numpy()))
 
     one = reps.select(F.col("cid").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("m"))
@@ -316,14 +347,21 @@ def may_link(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return near.select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("size")).mapInArrow(close, "a long, b long")
 
 
-def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, work: Scratch, k: int) -> DataFrame:
     """The pairs (a, b) of content ids whose sets are alike enough."""
-    pairs = stash(may_link(pairs, reps), "may-link")
-    need = stash(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps.select("cid", "doc_id"), "cid"), "needed")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
-    words = need.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
-    bloom = np.zeros(BLOOM_BITS // 64, np.int64)
-    bloom[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    pairs = work.stash(may_link(pairs, reps), "may-link")
+    need = work.stash(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps.select("cid", "doc_id"), "cid"), "needed")
+    count = need.count()
+    bits = 1 << max(10, (16 * min(count, BLOOM_MOST)).bit_length())
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    bloom = np.zeros(bits // 64, np.int64)
+    if count <= BLOOM_MOST:
+        words = need.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
+        bloom[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    else:  # too many for a filter: the wanted rows are found by a join
+        bloom[:] = -1
+        wanted = need.select(F.col("doc_id").alias("wanted")).distinct()
+        docs = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,21 +390,28 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFr
     made = made.join(chosen, "cid").where("coalesce(not (doc_id < rep or doc_id > rep), doc_id is null and rep is null)").dropDuplicates(["cid"]).select("cid", "shingles")
     x = pairs.join(made.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
     both = x.join(made.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    links = work.stash(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "links")
+    return links
 
 
-def apart(buckets: DataFrame, group: DataFrame) -> DataFrame:
-    """bucket, cid, component of the buckets whose members are in different components."""
+def apart(buckets: DataFrame, group: DataFrame, work: Scratch, turn: int) -> DataFrame:
+    """bucket, part, cid, component, lead, n, n_parts of the buckets whose members are in different components:
+    lead is a member (cid, component) that changes with turn, n the number of members.
+
+    What is known of a bucket goes to each of its parts, so members meet it by bucket and part.
+    """
     member = buckets.join(group.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    member = stash(member, "members")
-    split = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return stash(member.join(split, "bucket"), "apart")
+    member = work.stash(member.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("parts"))), "members")
+    known = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.max("parts").alias("n_parts"), F.min_by(F.struct("cid", "component"), F.xxhash64("cid", F.lit(turn))).alias("lead"))
+    known = known.where("lo <> hi").select("bucket", "n", "n_parts", "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("part"))
+    left = work.stash(member.drop("parts").join(known, ["bucket", "part"]), "apart")
+    return left
 
 
-def blockwise(left: DataFrame, reps: DataFrame, block: int = 1500) -> DataFrame:
+def blockwise(left: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket's members in different components that size and histogram allow.
 
-    A bucket of more than `block` members is cut into parts by hash, and every two parts meet in a task of
+    A bucket of more than a block of members is cut into its parts, and every two parts meet in a task of
     their own, so no task holds more than about two parts.
     """
 
@@ -376,15 +421,23 @@ def blockwise(left: DataFrame, reps: DataFrame, block: int = 1500) -> DataFrame:
         cid, n, comp, part = (t[c].to_numpy() for c in ("cid", "n_shingles", "component", "part"))
         order = np.argsort(n, kind="stable")
         cid, n, comp, part = cid[order], n[order], comp[order], part[order]
-        fine = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)[order].astype(np.int16)
-        rough = fine.reshape(len(fine), 64, -1).sum(2)
+        sketch = t["sketch"].to_pylist()
+        sketch = [sketch[i] for i in order]
         two = t["i"][0].as_py() != t["j"][0].as_py()
+        # Neighbours in size share a number of bins; views holds the bucket at each such number.
+        bins = np.array(list(map(len, sketch)))
+        views = {}
+        for b in np.unique(bins).tolist():
+            from_ = int(np.searchsorted(bins, b))
+            fold = np.concatenate([folded([sketch[i] for i in np.flatnonzero(bins == x).tolist()], b) for x in (b, 2 * b) if (bins == x).any()])
+            views[b] = from_, fold, fold.reshape(len(fold), -1, max(1, b // 64)).sum(2)
         for x in range(len(cid)):
+            from_, fine, rough = views[int(bins[x])]
             y = np.arange(x + 1, int(np.searchsorted(n, n[x] * 4 // 3, "right")))
             y = y[(comp[y] != comp[x]) & ((part[y] != part[x]) | (not two))]
             for view in (rough, fine):
                 if len(y):
-                    y = y[7 * np.abs(view[y] - view[x]).sum(1, dtype=np.int64) <= n[x] + n[y]]
+                    y = y[7 * np.abs(view[y - from_] - view[x - from_]).sum(1, dtype=np.int64) <= n[x] + n[y]]
             found.update((min(a, b), max(a, b)) for a, b in zip([int(cid[x])] * len(y), cid[y].tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,53 +459,54 @@ def blockwise(left: DataFrame, reps: DataFrame, block: int = 1500) -> DataFrame:
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    parts = left.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("parts"))
-    placed = left.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("parts"))).join(reps.select("cid", "n_shingles", "sketch"), "cid")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    met = placed.select("bucket", "cid", "component", "n_shingles", "sketch", "part", other.alias("q"))
+    placed = left.withColumn("cuts", F.ceil(F.col("n") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(11)), F.col("cuts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
+    met = placed.join(reps.select("cid", "n_shingles", "sketch"), "cid").select("bucket", "cid", "component", "n_shingles", "sketch", "part", other.alias("q"))
     met = met.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q")).drop("q")
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(tasks, *names[:3]).sortWithinPartitions(*names[:3]).select(*names)
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame, k: int = 5, pair_limit: int = 6, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, cid, sketch, key of every row; cid, component, doc_id, key of every set but the empty
-    one). key is the text's hash; a set has the smallest doc_id of its rows, null only if all are null."""
-    spark = docs.sparkSession
+def grouped(docs: DataFrame, work: Scratch, k: int = 5, pair_limit: int = 6, star_rounds: int = 2, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, cid, key of every row; cid, component, doc_id, key of every set but the empty
+    one). key is the text's hash; a set has the smallest doc_id of its rows, null only if all are null. The first
+    stays when `work` is closed if keep."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = Fresh()
         for batch in batches:
             for block in blocks(batch.column(1)):
                 borders, h = shingle_sets(block, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(np.diff(borders).astype(np.int64)), _i64(content_ids(borders, h)), pa.array(sketches(borders, h), pa.binary()), batch.column(2).slice(block.lo, block.n)], names=["doc_id", "n_shingles", "cid", "sketch", "key"])
+                c = content_ids(borders, h)
+                new = fresh.of(c)  # a task's copies of a set need its histogram once
+                sketch = iter(sketches(np.concatenate(([0], np.cumsum(np.diff(borders)[new]))), h[np.repeat(new, np.diff(borders))]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(np.diff(borders).astype(np.int64)), _i64(c), pa.array([next(sketch) if x else None for x in new], pa.binary()), batch.column(2).slice(block.lo, block.n)], names=["doc_id", "n_shingles", "cid", "sketch", "key"])
 
-    described = stash(docs.mapInArrow(describe, "doc_id long, n_shingles long, cid long, sketch binary, key long"), "described")
+    described = work.stash(docs.mapInArrow(describe, "doc_id long, n_shingles long, cid long, sketch binary, key long"), "described", keep)
     docs = docs.select("doc_id", "text")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("least")
-    reps = described.where("cid <> 0").groupBy("cid").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    reps = stash(reps.select("cid", "least.doc_id", "n_shingles", "sketch", "least.key"), "representatives")
-    hot, single = frequent_shingles(docs, k)
-    found = stash(candidate_rows(docs, k, hot, single, pair_limit), "candidates")
-    release(spark)
-    pairs = stash(found.where("not residual").select("a", "b").distinct(), "pairs")
-    links = stash(verify(docs, reps, pairs, k), "links")
-    release(spark)
-    group = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    buckets = stash(found.where("residual").select(F.col("a").alias("bucket"), F.col("b").alias("cid")).distinct(), "buckets")
+    reps = described.where("cid <> 0").groupBy("cid").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("sketch", ignorenulls=True).alias("sketch"))
+    reps = work.stash(reps.select("cid", "least.doc_id", "n_shingles", "sketch", "least.key"), "representatives")
+    hot, single = frequent_shingles(docs, work, k)
+    found = work.stash(candidate_rows(docs, k, hot, single, pair_limit), "candidates")
+    pairs = work.stash(found.where("parts is null").select("a", "b").distinct(), "pairs")
+    buckets = work.stash(found.where("parts is not null").select(F.col("a").alias("bucket"), F.col("b").alias("cid"), "parts").distinct(), "buckets")
+    work.discard(found)
+    group = components(verify(docs, reps, pairs, work, k).select(F.col("a").alias("u"), F.col("b").alias("v")), work)
     for turn in range(star_rounds + 1):
-        left = apart(buckets, group)
+        left = apart(buckets, group, work, turn)
+        if not left.take(1):
+            break
         if turn < star_rounds:
-            lead = left.groupBy("bucket").agg(F.min_by(F.struct("cid", "component"), F.xxhash64("cid", F.lit(turn))).alias("lead"))
-            star = left.join(lead, "bucket").where("component <> lead.component")
+            star = left.where("component <> lead.component")
             again = star.select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b")).distinct()
         else:
             again = blockwise(left, reps)
-        again = stash(again.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        again = work.stash(again.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if again.take(1):
-            links = links.unionByName(stash(verify(docs, reps, again, k), "links"))
-            group = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            group = joined(group, verify(docs, reps, again, work, k), work)
             pairs = pairs.unionByName(again)
     named = reps.join(group.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     return described, named.select("cid", "component", "doc_id", "key")
@@ -460,10 +514,12 @@ def grouped(docs: DataFrame, k: int = 5, pair_limit: int = 6, star_rounds: int =
 
 def near_duplicates(docs: DataFrame, k: int = 5, pair_limit: int = 6, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
-    described, named = grouped(docs, k, pair_limit, star_rounds)
+    work = Scratch(docs.sparkSession)
+    described, named = grouped(docs, work, k, pair_limit, star_rounds, keep=True)
     # Components so far are named by content ids; rename them by their smallest document.
     name = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = stash(named.join(name, "component").select("cid", "component_id"), "named")
+    of = work.stash(named.join(name, "component").select("cid", "component_id"), "named", keep=True)
+    work.close()
     return described.join(of, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -475,12 +531,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """doc_id, key, n: of each component the row of smallest doc_id (null only where all are null), then smallest
     set and text hash; n is how many rows of docs have both. Rows with a doc_id but without words are each
     a component of their own; rows without either are left to the caller."""
-    described, named = grouped(docs)
+    work = Scratch(docs.sparkSession)
+    described, named = grouped(docs, work)
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "cid", "key")).alias("first")).select("first.doc_id", "first.key")
     alone = described.where("cid = 0 and doc_id is not null").select("doc_id", "key").distinct()
     rows = described.where("cid <> 0 or doc_id is not null").groupBy(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n"))
     keep = first.unionByName(alone)
-    return keep.join(rows, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "n")
+    keep = work.stash(keep.join(rows, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "n"), "keep", keep=True)
+    work.close()
+    return keep
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ class Packer:
 
 def document_ids(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, borders, ids) of each block: the library's ids of every text, then end_id."""
-    known = table(WordTable, path, True)
+    known = table(WordTable, path)
     for block in blocks(column):
         starts, ends = word_chunks(block)
         rows = known.look_up(block, starts, ends) if len(starts) else np.zeros(0, np.int64)

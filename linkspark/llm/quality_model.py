@@ -159,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Attentio
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.lo, block.n), pa.array([x[borders[i] : borders[i + 1]].tobytes() for i in range(block.n)], pa.binary())], names=["y", "x"])
 
     # The sample has 2 * per_class rows of two numbers at most.
-    rows = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["doc_id"]).select(docs["text"], "y").mapInArrow(encode, "y int, x binary").collect()
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "y")
+    rows = joined.mapInArrow(encode, "y int, x binary").collect()
     y = np.array([r["y"] for r in rows], float)
     if len(set(y.tolist())) < 2:
         model.constant = (size.get(1, 0) + 1) / (sum(size.values()) + 2)

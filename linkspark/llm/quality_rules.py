@@ -1,14 +1,27 @@
 """Quality rules whose thresholds carry a guarantee.
 
-Every document gets exact text statistics and, from them, a few rule values. Labelled good documents are
-the holdout: for each rule and stratum the tightest cutoff of a fixed grid is taken for which an exact
-binomial (Clopper-Pearson) upper bound on the share of good documents that it rejects stays under
-`max_reject`. The error level of each test is `error` divided by the number of all tests (rules x strata x
-cutoffs, Bonferroni), so with probability 1 - error every chosen cutoff keeps its promise. Where no cutoff
-can be proven the rule rejects nothing in that stratum. Strata are length classes of the text itself.
+Every document gets exact text statistics and, from them, a few rule values. A rule rejects above a cutoff of a
+fixed grid. Cutoffs are chosen in three steps:
+
+1. Order. From the loosest to tighter cutoffs, all rules' moves are put into one sequence: always next is the
+   move whose newly rejected documents are most surely bad, by the labelled bad documents against the whole
+   corpus; moves that are bad for less than `least_precision` are left out. Good labels play no part in it.
+2. Holdout. All labelled good documents that pass the base rule say, for each stratum, how many of them are
+   rejected by the first 1, 2, ... moves together.
+3. Risk control. In each stratum the moves are tested one after the other: a move is taken while the exact
+   binomial (Clopper-Pearson) upper bound on the share of good documents that all moves so far reject
+   stays under `max_reject`, and the first failure ends the sequence. Testing in an order fixed beforehand needs no
+   correction for the number of moves; the error is divided by the number of strata (Bonferroni; strata
+   with too few good documents to prove anything test nothing and take no share). So with probability
+   1 - error, all rules together reject at most `max_reject` of the good documents in every stratum.
+
+Where nothing can be proven no rule rejects in that stratum. Strata are length classes of the text itself. Good
+documents whose statistics are all equal are copies and count once; near copies with other statistics
+count as independent.
 
 Null and empty texts have all statistics 0 and fail the base rule. Duplicate rows are judged alike;
-labels without a document, null labels and an empty label table add nothing (no cutoff is then proven).
+labels without a document, null labels and an empty label table add nothing (no cutoff is then proven). Values
+equal to a cutoff pass. Empty tables give no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +54,7 @@ RULES = {
 #: Cutoffs tried for every rule: a value above the cutoff rejects.
 GRID = (0, 10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 350, 400, 450, 500, 600, 700, 800, 900, 1000, 1200, 1500, 2000, 3000)
 #: Upper ends of the length classes, in words.
-STRATA = (100, 200, 400, 800, 1600)
+STRATA = (200, 800)
 
 
 def describe(block: Block) -> list[np.ndarray]:
@@ -125,44 +138,109 @@ def stratum() -> Column:
     return sum((F.col("n_words") >= s).cast("int") for s in STRATA)
 
 
-def choose_cutoffs(good: DataFrame, max_reject: float, error: float) -> dict[tuple[int, str], int]:
-    """(stratum, rule) -> cutoff, from the statistics of labelled good documents.
-
-    What reaches the driver is one row for each stratum, rule and grid step at most.
-    """
-    over = F.expr("stack({}, {}) as (rule, value)".format(len(RULES), ", ".join(f"'{n}', {e}" for n, e in RULES.items())))
-    step = sum((F.col("value") > g).cast("int") for g in GRID)  # number of cutoffs that reject it
-    bins = good.select(stratum().alias("s"), over).select("s", "rule", step.alias("step")).groupBy("s", "rule", "step").count().collect()
-    table: dict[tuple[int, str], np.ndarray] = {}
-    for r in bins:
-        table.setdefault((r["s"], r["rule"]), np.zeros(len(GRID) + 1, np.int64))[r["step"]] += r["count"]
-    level = error / (len(RULES) * (len(STRATA) + 1) * len(GRID))
+def steps(stats: DataFrame) -> DataFrame:
+    """stats with, for each rule, the number of cutoffs that its value exceeds (s_<rule>), and the stratum s."""
+    over = {f"s_{n}": sum((F.expr(e) > g).cast("int") for g in GRID) for n, e in RULES.items()}
+    return stats.withColumns({"s": stratum(), **over})
+
+
+def tails(stepped: DataFrame) -> np.ndarray:
+    """[rule, i]: how many rows exceed cutoff i. What reaches the driver is one row for each rule and step."""
+    over = F.expr("stack({}, {}) as (rule, step)".format(len(RULES), ", ".join(f"{i}, s_{n}" for i, n in enumerate(RULES))))
+    out = np.zeros((len(RULES), len(GRID) + 1), np.int64)
+    for r in stepped.select(over).groupBy("rule", "step").count().collect():
+        out[r["rule"], r["step"]] += r["count"]
+    return out[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
+
+
+def sequence(bad: np.ndarray, every: np.ndarray, bad_share: float, n_bad: int, n_every: int, least_precision: float) -> list[tuple[int, int]]:
+    """Moves (rule, index of the new cutoff), from tails of labelled bad documents and of all documents."""
+    share = bad_share * bad / max(n_bad, 1), every / max(n_every, 1)
+    at = {r: len(GRID) for r in range(len(bad))}  # no cutoff yet
+    out = []
+    while True:
+        best = None
+        for r, i in at.items():
+            held = (share[0][r, i], share[1][r, i]) if i < len(GRID) else (0.0, 0.0)
+            for j in range(i - 1, -1, -1):
+                found, taken = share[0][r, j] - held[0], share[1][r, j] - held[1]
+                if found > 0:
+                    precision = min(1.0, found / max(taken, 1e-12))
+                    if precision >= least_precision and (best is None or (precision, found) > best[:2]):
+                        best = (precision, found, r, j)
+        if best is None:
+            return out
+        out.append(best[2:])
+        at[best[2]] = best[3]
+
+
+def positions(moves: list[tuple[int, int]]) -> Column:
+    """The number of the first move that rejects a row of steps(), from 0; the number of moves if none does."""
+    own = []
+    for r, name in enumerate(RULES):
+        c = F.lit(len(moves))
+        for k, (rule, i) in reversed(list(enumerate(moves))):
+            if rule == r:
+                c = F.when(F.col(f"s_{name}") > i, k).otherwise(c)
+        own.append(c)
+    return F.least(*own)
+
+
+def proven(rejected: dict[int, np.ndarray], max_reject: float, error: float) -> dict[int, int]:
+    """stratum -> number of moves taken. rejected[s][k] is how many good documents move k is the first to
+    reject; its last entry counts those that no move rejects."""
+    able = dict(rejected)
+    while able:
+        level = error / len(able)
+        enough = {s: c for s, c in able.items() if c.sum() and (1 - max_reject) ** int(c.sum()) <= level}
+        if len(enough) == len(able):
+            break
+        able = enough
     out = {}
-    for key, count in table.items():
-        n = int(count.sum())
-        rejects = n - np.cumsum(count)[: len(GRID)]  # by cutoff i: values with more than i steps
-        for g, x in zip(GRID, rejects.tolist(), strict=True):
-            if x <= max_reject * n and binomial_upper(x, n, level) <= max_reject:
-                out[key] = g
+    for s, c in able.items():
+        n, x, k = int(c.sum()), 0, 0
+        for k, more in enumerate([*c[:-1].tolist(), None]):
+            if more is None or binomial_upper(x + more, n, level) > max_reject:
                 break
+            x += more
+        out[s] = k
     return out
 
 
-def judge(stats: DataFrame, cutoffs: dict[tuple[int, str], int]) -> DataFrame:
+def choose(stats: DataFrame, labels: DataFrame, max_reject: float, error: float, least_precision: float) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """(moves, number of moves taken in each stratum), from the statistics of all documents and the labels."""
+    labels = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    labels = labels.where("quality = most and doc_id is not null").select("doc_id", "quality")  # those that agree
+    passed = steps(stats.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words"))
+    known = passed.join(labels, "doc_id")
+    bad, good = known.where("quality = 0"), known.where("quality = 1").dropDuplicates([*STATS, *EXTRA])
+    n = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    n_bad, n_good = n.get(0, 0), n.get(1, 0)
+    if not n_bad or not n_good:
+        return [], {}
+    moves = sequence(tails(bad), tails(passed), n_bad / (n_bad + n_good), n_bad, passed.count(), least_precision)
+    rejected: dict[int, np.ndarray] = {}
+    for r in good.select("s", positions(moves).alias("k")).groupBy("s", "k").count().collect():
+        rejected.setdefault(r["s"], np.zeros(len(moves) + 1, np.int64))[r["k"]] = r["count"]
+    return moves, proven(rejected, max_reject, error)
+
+
+def judge(stats: DataFrame, moves: list[tuple[int, int]], taken: dict[int, int]) -> DataFrame:
     """stats with base_failed and kept."""
     bad = F.lit(False)
-    for (s, rule), g in sorted(cutoffs.items()):
-        bad = bad | ((stratum() == s) & (F.expr(RULES[rule]) > g))
+    names = list(RULES)
+    for s, k in sorted(taken.items()):
+        cutoffs = dict(moves[:k])  # a rule's later moves are its tighter ones
+        for r, i in sorted(cutoffs.items()):
+            bad = bad | ((stratum() == s) & (F.expr(RULES[names[r]]) > GRID[i]))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return stats.withColumn("base_failed", base).withColumn("kept", ~base & ~bad)
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, max_reject: float = 0.01, error: float = 0.05) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, max_reject: float = 0.05, error: float = 0.05, least_precision: float = 0.8) -> DataFrame:
     """doc_id, STATS, EXTRA, base_failed, kept."""
     stats = stash(text_stats(docs), "statistics")
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    base_ok = stats.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
-    return judge(stats, choose_cutoffs(base_ok.join(good, "doc_id", "left_semi"), max_reject, error))
+    return judge(stats, *choose(stats, labels, max_reject, error, least_precision))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

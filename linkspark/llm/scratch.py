@@ -48,31 +48,43 @@ def _setting(spark: SparkSession, name: str, value: str):
 
 
 class Scratch:
-    """The tables of one operator's run. Those that the result does not read go with discard()."""
+    """The tables of one operator's run: those on its way lie in a folder of their own, which close() empties;
+    a kept table, which the result reads, lies beside it and stays as long as the application's folder."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/linkspark-{spark.sparkContext.applicationId}"
-        self.paths: dict[int, str] = {}
+        self.run = f"{self.root}/run-{uuid.uuid4().hex}"
+        self.used = False
 
-    def stash(self, df: DataFrame, tag: str) -> DataFrame:
+    def stash(self, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
         """Write df and read it back: later work starts from the files, so a lost executor costs a reread
         instead of a recomputation. The write's shuffle files are of no further use and go with it."""
-        path = f"{self.root}/{tag}-{uuid.uuid4().hex}"
+        path = f"{self.root if keep else self.run}/{tag}-{uuid.uuid4().hex}"
         with _setting(self.spark, CLEANUP, "true"):
             df.write.parquet(path)
+        self.used |= not keep
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch = self  # the frame's id stays its own while the frame lives
+        out._stashed_at = path
         return out
 
+    def _empty(self, path: str) -> None:
+        """Through Spark's own writer, so wherever the folder lies."""
+        self.spark.range(0).write.mode("overwrite").parquet(path)
+
     def discard(self, *frames: DataFrame) -> None:
-        """Remove the files of stashed frames, through Spark's own writer, wherever they lie."""
+        """Remove the files of large frames that stash() returned, ahead of close()."""
         for df in frames:
-            if path := self.paths.pop(id(df), None):
-                self.spark.range(0).write.mode("overwrite").parquet(path)
+            if path := df.__dict__.get("_stashed_at"):
+                self._empty(path)
+
+    def close(self) -> None:
+        """Remove all tables of this run that are not kept."""
+        if self.used:
+            self._empty(self.run)
+            self.used = False
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """A table that stays as long as the application."""
-    return Scratch(df.sparkSession).stash(df, tag)
+    return Scratch(df.sparkSession).stash(df, tag, keep=True)

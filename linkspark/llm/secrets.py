@@ -1,16 +1,19 @@
 """Secret scan: fixed patterns, and a character convolutional network over every further candidate.
 
-The patterns give base findings, which always stay. Every token of candidate shape (a run of 12 or more of
-[A-Za-z0-9+/_-] holding a digit and a letter, with its padding) that no base finding touches is scored, with the
-characters around it, by a small convolutional network in numpy. It is trained on labelled findings: base
-findings, whose keyword or shape is hidden at random so that the value and looser contexts must carry the
-decision, against candidates and ordinary words beside no finding. The threshold is set on a holdout after
-Platt calibration: midway between the highest one that keeps the wanted recall there and the highest score of
-a negative, and never under `least_score`.
+The patterns give base findings, which always stay. Every candidate that no base finding touches is scored, with
+the characters around it, by a small convolutional network in numpy. Candidates are runs of [A-Za-z0-9+/_-], with
+their padding, that hold a digit and a letter in 8 characters or more, or that follow a colon or equals sign in
+6 or more. A value longer than a window is read in overlapping windows from end to end; its score is
+the largest. The network is trained on labelled findings: base findings, whose keyword or shape is hidden at
+random so that the value and looser contexts must carry the decision, against candidates and ordinary words
+beside no finding. The threshold is set on a holdout after Platt calibration, under the constraint that it
+keeps the wanted recall there: the highest such threshold, or, where that lies above all negatives, the middle between it and
+the highest negative.
 
 The training sample is bounded: the `train_docs` documents with findings, and as many without, of smallest
-hash over all documents of up to 20000 characters. Every document is scanned as a whole. Null and empty texts have no findings; repeated rows are
-scanned alike; an empty table, or one without findings, adds no span to the base ones.
+hash over all documents, with at most `per_doc` findings each; whole texts are read. Every document is scanned
+as a whole. Null and empty texts have no findings; repeated rows are scanned alike; an empty table, or one
+without findings, adds no span to the base ones. Further columns are ignored, and kept by redact().
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The kinds of finding and their patterns.
@@ -31,7 +34,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+NUMBERED = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{8,}={0,2}")
+ASSIGNED = re.compile(r"(?<=[:=])\x20*[\"']?([A-Za-z0-9+/_-]{6,}={0,2})")
 DIGIT = re.compile(r"[0-9]")
 LETTER = re.compile(r"[A-Za-z]")
 
@@ -54,14 +58,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Runs of candidate shape that touch no base finding."""
-    if not DIGIT.search(text):
-        return []
-    out = []
-    for m in CANDIDATE.finditer(text):
-        v = m.group()
-        if DIGIT.search(v) and LETTER.search(v) and all(m.end() <= a or b <= m.start() for _, a, b in base):
-            out.append((m.start(), m.end()))
-    return out
+    found = {m.span(1) for m in ASSIGNED.finditer(text)} if ":" in text or "=" in text else set()
+    if DIGIT.search(text):
+        found |= {m.span() for m in NUMBERED.finditer(text) if LETTER.search(m.group())}
+    return [(a, b) for a, b in sorted(found) if all(b <= x or y <= a for _, x, y in base)]
 
 
 def classes(s: str) -> np.ndarray:
@@ -71,18 +71,24 @@ def classes(s: str) -> np.ndarray:
 
 
 def window(text: str, a: int, b: int) -> np.ndarray:
-    """Left context, the value's two ends, right context."""
+    """Left context, the value (VALUE characters at most), right context."""
     out = np.zeros(WIDTH, np.uint8)
     left = classes(text[max(0, a - SIDE) : a])
     out[SIDE - len(left) : SIDE] = left
-    v = text[a:b]
-    v = classes(v if len(v) <= VALUE else v[: VALUE // 2] + v[-VALUE // 2 :])
+    v = classes(text[a:b])
     out[SIDE : SIDE + len(v)] = v
     right = classes(text[b : b + SIDE])
     out[SIDE + VALUE : SIDE + VALUE + len(right)] = right
     return out
 
 
+def windows(text: str, a: int, b: int) -> list[np.ndarray]:
+    """Windows over the whole value; those of a long one overlap by half, and the last ends with it."""
+    if b - a <= VALUE:
+        return [window(text, a, b)]
+    return [window(text, x, x + VALUE) for x in (*range(a, b - VALUE, VALUE // 2), b - VALUE)]
+
+
 def platt(z: np.ndarray, target: np.ndarray, steps: int = 30) -> tuple[float, float]:
     """(scale, shift) of the logistic calibration of logits z, by damped Newton steps."""
     x, w = np.stack((z, np.ones_like(z)), 1), np.array([1.0, 0.0])
@@ -141,7 +147,7 @@ class CharNet:
         dE[0] = 0
         return {"E": dE, "W": u.reshape(-1, u.shape[2]).T @ flat, "b": flat.sum(0), "v": z.T @ d, "c": d.sum(keepdims=True)}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, recall: float, least_score: float, steps: int = 300, seed: int = 11) -> CharNet:
+    def fit(self, x: np.ndarray, y: np.ndarray, recall: float, steps: int = 300, seed: int = 11) -> CharNet:
         """Adam on three quarters; calibration and threshold on the rest."""
         r = np.random.default_rng(seed)
         order = r.permutation(len(x))
@@ -163,7 +169,7 @@ class CharNet:
             found = np.sort(self.score(x[ho][t > 0]))
             other = np.sort(self.score(x[ho][t == 0]))
             most = float(found[int((1 - recall) * len(found))])  # a higher threshold would lose recall
-            self.threshold = min(most, max(least_score, (most + float(other[-1])) / 2)) if most > least_score else least_score
+            self.threshold = min(most, (most + float(other[-1])) / 2) if other[-1] < most else most
         return self
 
 
@@ -174,46 +180,54 @@ def hidden(text: str, kind: str, a: int, b: int, r: np.random.Generator) -> np.n
         va = m.start(2)
         if r.random() < 0.5:
             text = text[:a] + "x" * len(m.group(1)) + text[a + len(m.group(1)) :]
-        return window(text, va, b)
-    return window(text, a, b)
+        a = va
+    return r.choice(windows(text, a, b))
 
 
-def examples(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Findings, and candidates and words that lie in documents' ordinary parts."""
+def examples(text: str, per_doc: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, labels): findings, and candidates and words that lie in the document's ordinary parts."""
     r = np.random.default_rng(seed)
-    x, y = [], []
-    for text in texts:
-        base = base_spans(text)
-        for kind, a, b in base:
-            x.append(hidden(text, kind, a, b, r))
-            y.append(1.0)
-        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]{4,}", text) if all(m.end() <= a or b <= m.start() for _, a, b in base)]
-        for a, b in [words[i] for i in r.permutation(len(words))[:4]]:
-            x.append(window(text, a, b))
-            y.append(0.0)
-        numbered = [s for s in words if DIGIT.search(text, *s)]
-        for a, b in [numbered[i] for i in r.permutation(len(numbered))[:6]]:
-            x.append(window(text, a, b))
+    base = base_spans(text)
+    x = [hidden(text, *base[i], r) for i in sorted(r.permutation(len(base))[:per_doc])]
+    y = [1.0] * len(x)
+    free = lambda a, b: all(b <= p or q <= a for _, p, q in base)
+    words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]{4,}", text) if free(*m.span())]
+    numbered = [s for s in words if DIGIT.search(text, *s)]
+    for spans, most in ((words, 4), (numbered, 6), (candidates(text, base), 6)):
+        for a, b in [spans[i] for i in r.permutation(len(spans))[:most]]:
+            x.append(r.choice(windows(text, a, b)))
             y.append(0.0)
     return np.array(x, np.uint8).reshape(-1, WIDTH), np.array(y)
 
 
-def train(docs: DataFrame, train_docs: int = 300, recall: float = 0.95, least_score: float = 0.6) -> CharNet | None:
-    """The network, or None where there are no findings. Copies of one text count once."""
-    rows = docs.select("text").where("text is not null and length(text) <= 20000").select("text", F.xxhash64("text").alias("h"))
-    likely = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+def likely() -> Column:
+    """Whether a text may hold a base finding."""
+    return F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
 
-    def smallest(part: DataFrame) -> list[str]:
-        """Texts of the train_docs smallest hashes; hashes are chosen alone, so that no other text travels."""
-        least = [x["h"] for x in part.select("h").distinct().orderBy("h").limit(train_docs).collect()]
-        texts = part.where(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text")).collect() if least else []
-        return [x["text"] for x in sorted(texts, key=lambda x: x["h"])]
 
-    with_secret, without = smallest(rows.where(likely)), smallest(rows.where(~likely))
-    x, y = examples(with_secret + without)
+def smallest(texts: DataFrame, n: int) -> list[int]:
+    """The n smallest hashes of different texts (columns text and h); no text travels."""
+    return [x["h"] for x in texts.select("h").distinct().orderBy("h").limit(n).collect()]
+
+
+def train(docs: DataFrame, train_docs: int = 300, recall: float = 0.95, per_doc: int = 32) -> CharNet | None:
+    """The network, or None where there are no findings. Copies of one text count once."""
+    texts = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    chosen = smallest(texts.where(likely()), train_docs) + smallest(texts.where(~likely()), train_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [examples(t, per_doc, h & 0xFFFFFFFF) for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([y.tobytes() for _, y in made], pa.binary())], names=["h", "x", "y"])
+
+    # 2 * train_docs rows of some 50 windows at most.
+    rows = texts.where(F.col("h").isin(chosen)).mapInArrow(run, "h long, x binary, y binary").dropDuplicates(["h"]).collect() if chosen else []
+    rows = sorted(rows, key=lambda r: r["h"])
+    x = np.concatenate([np.zeros((0, WIDTH), np.uint8), *(np.frombuffer(r["x"], np.uint8).reshape(-1, WIDTH) for r in rows)])
+    y = np.concatenate([np.zeros(0), *(np.frombuffer(r["y"]) for r in rows)])
     if y.sum() < 8 or y.sum() > len(y) - 8:
         return None
-    return CharNet().fit(x, y, recall, least_score)
+    return CharNet().fit(x, y, recall)
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -229,10 +243,13 @@ def find(texts: list[str], net: CharNet | None) -> list[tuple[list, list]]:
     extra: list[list] = [[] for _ in texts]
     if net is not None:
         where = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
-        score = net.score(np.array([window(texts[i], a, b) for i, a, b in where], np.uint8).reshape(-1, WIDTH))
-        for (i, a, b), s in zip(where, score, strict=True):
-            if s >= net.threshold:
-                extra[i].append(("network", a, b))
+        seen = [windows(texts[i], a, b) for i, a, b in where]
+        if where:
+            score = net.score(np.array([w for own in seen for w in own], np.uint8))
+            score = np.maximum.reduceat(score, np.cumsum([0, *map(len, seen[:-1])]))
+            for (i, a, b), s in zip(where, score, strict=True):
+                if s >= net.threshold:
+                    extra[i].append(("network", a, b))
     return [(x, sorted(x + e, key=lambda s: (s[1], KINDS.index(s[0])))) for x, e in zip(base, extra, strict=True)]
 
 

@@ -9,13 +9,14 @@
    sums over all documents and brings a few numbers a voter to the driver. From the class-conditional
    second moments of the last round come the voters' correlations; the evidence of a voter is divided
    by the number of voters that it agrees with beyond the class.
-3. Classifier. A logistic regression over the mined terms of the sample's documents is trained on the
-   label model's posteriors, and calibrated to the training labels and the true class sizes. It scores
-   every whole text.
+3. Classifier. A logistic regression over the mined terms is trained on the label model's posteriors of all
+   documents of the corpus: documents with the same terms are one weighted row, and every Newton step sums the
+   gradient and the non-zero entries of the Hessian over these rows where they lie. It is calibrated to the
+   labelled sample and the true class sizes, and scores every whole text.
 
-Null and empty texts score as a text without any term. Repeated rows score alike. Without labels of both
+Of the sample only counts, minima and scores reach the driver, no text. Null and empty texts score as a text without any term. Repeated rows score alike. Without labels of both
 classes, or without a term, every score is the training share of label 1 ((n1+1)/(n+2)). Empty tables give no
-rows; further columns are ignored.
+rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import calibrate, held_out, label_sample, sigmoid
-from .scratch import stash
+from .scratch import Scratch
 from .textvec import LOWER, Block, blocks, hash_spans, mix, word_spans
 
 MOD, REST = 3, 1
@@ -196,43 +198,30 @@ class Classifier:
         return sigmoid(self.scale * self.logits(block) + self.shift)
 
 
-def mine(sample: list[np.ndarray], y: np.ndarray, share: float = 0.01, ratio: float = 8.0) -> Terms | None:
-    """Terms that three toxic sample documents and `share` of them hold, at `ratio` times the clean rate."""
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    support = max(3, share * n1)
-    k1, c1 = np.unique(np.concatenate([s for s, t in zip(sample, y, strict=True) if t == 1]), return_counts=True)
-    k0, c0 = np.unique(np.concatenate([s for s, t in zip(sample, y, strict=True) if t == 0]), return_counts=True)
-    k1, c1 = k1[c1 >= support], c1[c1 >= support]
-    if not len(k1):
+def mine(sample: DataFrame, n1: int, n0: int, share: float = 0.01, ratio: float = 8.0) -> Terms | None:
+    """Terms that three toxic sample documents and `share` of them hold, at `ratio` times the clean rate; the
+    MAX_TERMS strongest. sample has y and the distinct terms of each document."""
+    counts = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
+    lift = (F.col("c1") + 0.5) / (n1 + 1) * (n0 + 1) / (F.col("c0") + 0.5)
+    good = counts.where(F.col("c1") >= max(3, share * n1)).withColumn("lift", lift).where(F.col("lift") >= ratio)
+    best = good.select("term", (F.col("c1") * F.log("lift")).alias("strength")).orderBy(F.desc("strength"), "term").limit(MAX_TERMS).collect()
+    if not best:
         return None
-    at = np.minimum(np.searchsorted(k0, k1), len(k0) - 1)
-    other = np.where(k0[at] == k1, c0[at], 0)
-    p1, p0 = (c1 + 0.5) / (n1 + 1), (other + 0.5) / (n0 + 1)
-    strength = c1 * np.log(p1 / p0)
-    good = np.flatnonzero(p1 / p0 >= ratio)
-    best = good[np.lexsort((k1[good], -strength[good]))][:MAX_TERMS]
-    if not len(best):
-        return None
-    by = np.argsort(k1[best])
-    order = np.argsort(by)  # position in key order of the strongest, the next, ...
-    return Terms(k1[best][by], order)
+    keys = np.array([r["term"] for r in best], np.int64).view(_U)
+    by = np.argsort(keys)
+    return Terms(keys[by], np.argsort(by))  # and the position in key order of the strongest, the next, ...
 
 
-def distinct_sample(sample: list[np.ndarray], least: float = 0.5, bands: int = 8, width: int = 4) -> np.ndarray:
+def distinct_sample(minima: np.ndarray, least: float = 0.5, width: int = 4) -> np.ndarray:
     """Positions of sample documents without earlier near copies, so that one copied text counts once.
 
-    Candidates come from banded minima of the term hashes, and are compared as whole sets.
+    Candidates share a band of minima; two are near copies when `least` of all their minima agree.
     """
     first: dict[tuple, int] = {}
     keep = []
-    for i, x in enumerate(sample):
-        if not len(x):
-            continue
-        minima = np.array([mix(x ^ _U(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))).min() for j in range(bands * width)]).reshape(bands, width)
-        keys = [(b, *row) for b, row in enumerate(minima.tolist())]
-        near = {first[k] for k in keys if k in first}
-        same = (len(np.intersect1d(x, sample[j], assume_unique=True)) for j in near)
-        if any(c >= least * (len(x) + len(sample[j]) - c) for j, c in zip(near, same, strict=True)):
+    for i, x in enumerate(minima):
+        keys = [(b, *x[b : b + width].tolist()) for b in range(0, minima.shape[1], width)]
+        if any((x == minima[j]).mean() >= least for j in {first[k] for k in keys if k in first}):
             continue
         keep.append(i)
         for k in keys:
@@ -240,13 +229,16 @@ def distinct_sample(sample: list[np.ndarray], least: float = 0.5, bands: int = 8
     return np.array(keep, np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs: int = 3000) -> Classifier:
-    """From at most toxic_docs and clean_docs labelled training rows, and the votes of all documents."""
-    sample, size = label_sample(labels, "toxic", MOD, REST, {1: toxic_docs, 0: clean_docs})
+MINIMA = 32
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sampled(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """row, y, text, distinct terms and minima of the sample's documents that have a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for block in blocks(batch.column(0)):
+            for block in blocks(batch.column(1)):
                 row, _, h, _ = terms(block)
                 by = np.lexsort((h, row))
                 row, h = row[by], h[by]
@@ -254,51 +246,127 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 row, h = row[new], h[new]
                 cut = np.searchsorted(row, np.arange(block.n + 1))
-                texts = batch.column(0).slice(block.lo, block.n)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.lo, block.n), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(block.n)], pa.binary()), texts], names=["y", "x", "text"])
+                own = np.flatnonzero(np.diff(cut))
+                least = [np.minimum.reduceat(mix(h ^ _U(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))), cut[own]) if len(own) else h[:0] for j in range(MINIMA)]
+                least = np.stack(least, 1)
+                part = batch.slice(block.lo, block.n).take(pa.array(own))
+                offsets = np.append(cut[own], cut[own[-1] + 1] if len(own) else 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at + own), part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64))), pa.array([x.tobytes() for x in least], pa.binary())],
+                    names=["row", "y", "text", "terms", "minima"],
+                )
+                at += block.n
 
     # The sample has toxic_docs + clean_docs rows of two numbers at most.
-    joined = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["doc_id"]).select(docs["text"], "y")
-    rows = sorted(joined.mapInArrow(encode, "y int, x binary, text string").collect(), key=lambda r: (r["y"], r["x"]))
-    rows = [rows[i] for i in distinct_sample([np.frombuffer(r["x"], _U) for r in rows])]
-    y = np.array([r["y"] for r in rows], float)
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("y", "text")
+    return joined.mapInArrow(run, "row long, y int, text string, terms array<long>, minima binary")
+
+
+def feature_rows(docs: DataFrame, found: Terms) -> DataFrame:
+    """votes and terms (numbers of mined terms, two bytes each) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                row, _, k, _, _ = found.hits(block)
+                pair = np.unique(row * len(found.keys) + k)
+                cut = np.searchsorted(pair // len(found.keys), np.arange(block.n + 1))
+                k = (pair % len(found.keys)).astype("<u2")
+                yield pa.RecordBatch.from_arrays([pa.array(votes(found, block).view(np.int64)), pa.array([k[cut[i] : cut[i + 1]].tobytes() for i in range(block.n)], pa.binary())], names=["votes", "terms"])
+
+    return docs.select("text").mapInArrow(run, "votes long, terms binary")
+
+
+def fit_classifier(voted: DataFrame, model: LabelModel, n_terms: int, work: Scratch, rounds: int = 8, ridge: float = 0.05) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the logistic regression on the posteriors of all documents, by damped Newton steps.
+
+    A round brings the sums of a gradient of n_terms + 1 numbers and of the pairs of terms that occur together.
+    """
+    size = n_terms + 1
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = model.posterior(unpack(batch.column(0).to_numpy().view(_U)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(q)], names=["terms", "q"])
+
+    rows = voted.select("votes", "terms").mapInArrow(judge, "terms binary, q double")
+    rows = work.stash(rows.groupBy("terms").agg(F.sum("q").alias("q"), F.count("*").alias("n")), "features")
+    prior = np.clip(model.prior, 1e-4, 1 - 1e-4)
+    w = np.zeros(size)
+    w[-1] = np.log(prior / (1 - prior))
+    penalty = np.full(size, ridge)
+    penalty[-1] = 1e-6
+    for _ in range(rounds):
+
+        def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            gradient, hessian = np.zeros(size), np.zeros((size, size))
+            for batch in batches:
+                q, n = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(float)
+                own = [np.frombuffer(t.as_buffer(), "<u2").astype(np.int64) for t in batch.column(0)]
+                for a in range(0, len(own), 2000):
+                    x = np.zeros((len(own[a : a + 2000]), size))
+                    x[:, -1] = 1
+                    for i, k in enumerate(own[a : a + 2000]):
+                        x[i, k] = 1
+                    p = sigmoid(x @ w)
+                    gradient += x.T @ (n[a : a + 2000] * p - q[a : a + 2000])
+                    hessian += x.T @ (x * (n[a : a + 2000] * np.maximum(p * (1 - p), 1e-6))[:, None])
+            every = np.concatenate((gradient, np.triu(hessian).ravel()))
+            at = np.flatnonzero(every)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at])], names=["i", "x"])
+
+        every = np.zeros(size + size * size)
+        for r in rows.mapInArrow(sums, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            every[r["i"]] = r["x"]
+        hessian = every[size:].reshape(size, size)
+        hessian = hessian + np.triu(hessian, 1).T + np.diag(penalty)
+        step = np.clip(np.linalg.solve(hessian, every[:size] + penalty * w), -1.5, 1.5)
+        w = w - step
+        if np.abs(step).max() < 1e-4:
+            break
+    return w[:-1], float(w[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs: int = 3000) -> Classifier:
+    """From at most toxic_docs and clean_docs labelled training rows, and the votes of all documents."""
+    work = Scratch(docs.sparkSession)
+    sample, size = label_sample(labels, "toxic", MOD, REST, {1: toxic_docs, 0: clean_docs})
     prior = (size.get(1, 0) + 1) / (sum(size.values()) + 2)
     none = Classifier(None, np.zeros(0), 0.0, constant=prior)
-    if len(set(y.tolist())) < 2:
+    rows = work.stash(sampled(docs, sample), "toxic-sample")
+    seen = sorted(rows.select("y", "minima", "row").collect())
+    kept = [seen[i] for i in distinct_sample(np.array([np.frombuffer(r["minima"], _U) for r in seen], _U).reshape(-1, MINIMA))]
+    n1 = sum(r["y"] for r in kept)
+    if not 0 < n1 < len(kept):
+        work.close()
         return none
-    found = mine([np.frombuffer(r["x"], _U) for r in rows], y)
+    chosen = docs.sparkSession.createDataFrame([(r["row"],) for r in kept], "row long")
+    rows_kept = rows.join(F.broadcast(chosen), "row", "left_semi")  # toxic_docs + clean_docs numbers at most
+    found = mine(rows_kept, n1, len(kept) - n1)
     if found is None:
+        work.close()
         return none
-    texts = pa.array([r["text"] for r in rows], pa.large_string())
-    del rows
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(votes(found, block).view(np.int64))], names=["votes"])
-
-    voted = stash(docs.select("text").mapInArrow(vote, "votes long"), "votes")
-    bits, x = [], np.zeros((len(texts), len(found.keys)), np.float32)
-    for block in blocks(texts):
-        bits.append(votes(found, block))
-        row, _, k, _, _ = found.hits(block)
-        x[block.lo + row, k] = 1
-    v = unpack(np.concatenate(bits))
+            for block in blocks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(votes(found, block).view(np.int64))], names=["y", "votes"])
+
+    told = rows_kept.select("y", "text").mapInArrow(vote, "y int, votes long").collect()
+    y, v = np.array([r["y"] for r in told]), unpack(np.array([r["votes"] for r in told], np.int64).view(_U))
     rate = lambda c: np.clip((v[y == c].sum(0) + 0.5) / ((y == c).sum() + 1), 1e-4, 1 - 1e-4)
+    voted = work.stash(feature_rows(docs, found), "votes")
     model = fit_label_model(voted, LabelModel(prior, rate(1), rate(0), np.full(N_VOTERS, 0.3)))
-    target = model.posterior(v)
-    design = np.concatenate((x, np.ones((len(x), 1), np.float32)), axis=1).astype(np.float64)
-    w = np.zeros(design.shape[1])
-    w[-1] = np.log(prior / (1 - prior))
-    ridge = np.full(len(w), 0.05)
-    ridge[-1] = 1e-6
-    for _ in range(12):  # damped Newton steps
-        p = sigmoid(design @ w)
-        hess = design.T @ (design * np.maximum(p * (1 - p), 1e-6)[:, None]) + np.diag(ridge)
-        w -= np.clip(np.linalg.solve(hess, design.T @ (p - target) + ridge * w), -1.5, 1.5)
-    weight, bias = w[:-1], float(w[-1])
-    out = Classifier(found, weight, bias)
-    out.scale, out.shift = calibrate(x @ weight + bias, y, size)
+    out = Classifier(found, *fit_classifier(voted, model, len(found.keys), work))
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(out.logits(block))], names=["y", "z"])
+
+    told = rows_kept.select("y", "text").mapInArrow(logits, "y int, z double").collect()
+    out.scale, out.shift = calibrate(np.array([r["z"] for r in told]), np.array([r["y"] for r in told], float), size)
+    work.close()
     return out
 
 

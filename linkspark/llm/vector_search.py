@@ -2,9 +2,10 @@
 
 Vectors are dealt to shards by a hash of their id, `shard_size` to a shard on average, so the number of
 shards follows the table. A shard's index is built in one task and stored as flat arrays (vectors, ids,
-neighbour lists of every layer) in one row of a table. Queries come in packed blocks, every block
-meets every shard by an equi-join on the shard, and the shard results are merged by score, ties by id.
-Scores are Euclidean distances in double precision on the original vectors.
+neighbour lists of every layer) in one row of a table. Queries come in packed blocks. Every block has to meet
+every shard: blocks are dealt to lanes of `lane_blocks`, a lane and a shard meet in one cogrouped task
+(keys shard, dimension, lane), which so holds one shard and one lane, and the shard results are merged by score,
+ties by id. Scores are Euclidean distances in double precision on the original vectors.
 
 Equal vectors of a shard are one node of its graph with all their ids, so any number of copies of one
 vector neither breaks the graph nor fills the result list unseen. Recall is measured in the tests and
@@ -152,45 +153,45 @@ def build_index(vectors: DataFrame, shard_size: int = 2048, m: int = 12, effort:
     return dealt.groupBy("shard", "dim").applyInArrow(make, "shard long, dim int, ids binary, start binary, vectors binary, near array<binary>, entry long")
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int = 10, effort: int = 96, block: int = 512) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int = 10, effort: int = 96, block: int = 512, lane_blocks: int = 16) -> DataFrame:
     """query_id, vec_id, score: up to k results of every query from every shard."""
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "q_ids": [t["vec_id"].to_numpy().tobytes()], "q": [_matrix(t["embedding"], key[0].as_py()).tobytes()]})
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, g, ids, start = None, None, None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if known != (r["shard"], r["dim"]):
-                    known = (r["shard"], r["dim"])
-                    x = np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"])
-                    g = Graph(x, [np.frombuffer(b, np.int32).reshape(len(x), -1) for b in r["near"]], r["entry"])
-                    ids, start = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["start"], np.int64)
-                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], np.float64).reshape(-1, r["dim"])
-                a, b, s = [], [], []
-                for qid, v in zip(q_ids.tolist(), q, strict=True):
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "lane": pa.array([key[1].as_py() // lane_blocks], pa.int64()), "q_ids": [t["vec_id"].to_numpy().tobytes()], "q": [_matrix(t["embedding"], key[0].as_py()).tobytes()]})
+
+    def look(key: tuple, shards: pa.Table, asked: pa.Table) -> pa.Table:
+        a, b, s = [], [], []
+        dim = key[1].as_py()
+        for r in shards.to_pylist():
+            x = np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
+            g = Graph(x, [np.frombuffer(n, np.int32).reshape(len(x), -1) for n in r["near"]], r["entry"])
+            ids, start = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["start"], np.int64)
+            for q_ids, q in zip(asked["q_ids"], asked["q"], strict=True):
+                for qid, v in zip(np.frombuffer(q_ids.as_buffer(), np.int64).tolist(), np.frombuffer(q.as_buffer(), np.float64).reshape(-1, dim), strict=True):
                     rows = np.array(g.search(v, max(effort, k + 1)))
                     score = np.sqrt(((g.x[rows] - v) ** 2).sum(1))
-                    out = []
-                    for i, d in sorted(zip(rows.tolist(), score.tolist(), strict=True), key=lambda p: p[1])[: 2 * k + 2]:
-                        out += [(d, x) for x in ids[start[i] : start[i + 1]][: k + 1].tolist() if x != qid]
-                    for d, x in sorted(out)[:k]:
+                    last = np.sort(score)[min(k, len(score) - 1)]  # equal distances at the end all stay until the ids decide
+                    out = [(d, y) for i, d in zip(rows.tolist(), score.tolist(), strict=True) if d <= last for y in ids[start[i] : start[i + 1]][: k + 1].tolist() if y != qid]
+                    for d, y in sorted(out)[:k]:
                         a.append(qid)
-                        b.append(x)
+                        b.append(y)
                         s.append(d)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
     # Blocks are dealt by a hash over a number of groups that follows the number of queries.
     groups = max(1, -(-queries.count() // block))
-    packed = queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("dim", "g").applyInArrow(pack, "dim int, q_ids binary, q binary")
-    meet = index.select("shard", "dim").join(packed, "dim").join(index, ["shard", "dim"]).select("shard", "dim", "ids", "start", "vectors", "near", "entry", "q_ids", "q")
-    return meet.mapInArrow(look, "query_id long, vec_id long, score double")
+    packed = queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("dim", "g").applyInArrow(pack, "dim int, lane long, q_ids binary, q binary")
+    lanes = -(-groups // lane_blocks)
+    shards = index.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    keys = ["shard", "dim", "lane"]
+    one, two = index.withColumn("lane", every(lanes)).groupBy(*keys), packed.withColumn("shard", every(shards)).groupBy(*keys)
+    return one.cogroup(two).applyInArrow(look, "query_id long, vec_id long, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_size: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score."""
-    index = stash(build_index(vectors), "index")
+    index = stash(build_index(vectors, shard_size), "index")
     found = search_index(index, usable(queries), k)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

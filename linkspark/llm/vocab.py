@@ -87,8 +87,8 @@ def word_chunks(block: Block) -> tuple[np.ndarray, np.ndarray]:
 class ChunkTable:
     """Distinct chunks by 64-bit hash, with the ids that the library gives them."""
 
-    def __init__(self, path: str, keep_ids: bool):
-        self.path, self.keep_ids = path, keep_ids
+    def __init__(self, path: str):
+        self.path = path
         self.clear()
 
     def clear(self) -> None:
@@ -117,9 +117,8 @@ class ChunkTable:
                 self.index[keys[k]] = base + i
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.length = np.concatenate((self.length, size))
-            if self.keep_ids:
-                self.start = np.concatenate((self.start, len(self.ids) + np.concatenate(([0], np.cumsum(size)[:-1]))))
-                self.ids = np.concatenate((self.ids, np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))))
+            self.start = np.concatenate((self.start, len(self.ids) + np.concatenate(([0], np.cumsum(size)[:-1]))))
+            self.ids = np.concatenate((self.ids, np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))))
         return rows[back]
 
 
@@ -155,6 +154,6 @@ def _word_ends(path: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def table(kind: type, path: str, keep_ids: bool) -> ChunkTable:
+def table(kind: type, path: str) -> ChunkTable:
     """The worker's own table; workers are reused from task to task."""
-    return kind(path, keep_ids)
+    return kind(path)

@@ -13,13 +13,45 @@ from linkspark.llm.textvec import blocks
 MIDDLE = "/root/testdata/sf0.1"
 
 
-@pytest.mark.parametrize("module, label, least", [(Q, "quality", 0.95), (T, "toxic", 0.9)])
-def test_held_out(spark, module, label, least):
+@pytest.mark.parametrize("module, label, recall, wrong", [(Q, "quality", 0.98, 0.1), (T, "toxic", 0.68, 0.02)])
+def test_held_out(spark, module, label, recall, wrong):
+    """On labels that were never learned from: rows of label 1 found, and of label 0 taken for them."""
     got = module.query(spark, MIDDLE).join(spark.read.parquet(f"{MIDDLE}/labels.parquet"), "doc_id").where("held_out").toPandas()
-    assert ((got.predicted == got[label]).mean()) >= least
+    ones, zeros = got[got[label] == 1].predicted, got[got[label] == 0].predicted
+    print(label, int(ones.sum()), len(ones), int(zeros.sum()), len(zeros))
+    assert ones.mean() >= recall and zeros.mean() <= wrong
     assert got.score.between(0, 1).all()
 
 
+def test_clashing_columns(spark, docs, labels):
+    """Whatever further columns the documents have, the scores are the same."""
+    more = docs.selectExpr("*", "1 as y", "2 as score", "3 as row", "4 as terms", "5 as quality", "6 as toxic")
+    for module in (Q, T):
+        want = {r.doc_id: r.score for r in module.score(docs, module.train(docs, labels)).collect()}
+        got = {r.doc_id: r.score for r in module.score(more, module.train(more, labels)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_classifier_learns_from_the_corpus(spark):
+    """Documents that no label names move the weights: a term that only they hold with others is learned."""
+    r = np.random.default_rng(3)
+    some = lambda: " ".join("".join(r.choice(list("etaoinsr"), 6)) for _ in range(12))
+    texts = [f"{some()} plain" for _ in range(300)] + [f"vile {some()} awful" for _ in range(40)] + [f"vile {some()} nasty" for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few = spark.createDataFrame([(i, int(i >= 300)) for i in range(340)], "doc_id long, toxic int")
+    few = few.unionByName(spark.createDataFrame([(i, 1) for i in range(340, 352)], few.schema))
+    got = {r.doc_id: r.score for r in T.score(df, T.train(df, few)).collect()}
+    assert min(got[i] for i in range(352, 540)) > 0.7 and max(got[i] for i in range(300)) < 0.3
+
+
+def test_near_copies_count_once():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 62, (5, 32)).astype(np.uint64)
+    copies = np.repeat(base, 4, axis=0)
+    copies[::2, 30:] = r.integers(0, 1 << 62, (10, 2))
+    assert T.distinct_sample(copies).tolist() == [0, 4, 8, 12, 16]
+
+
 @pytest.mark.parametrize("module, label", [(Q, "quality"), (T, "toxic")])
 def test_odd_texts_and_no_labels(spark, odd, module, label):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -66,11 +66,29 @@ def test_counts(which, texts, docs):
     assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, BYTES).collect()} == want
 
 
+@pytest.mark.parametrize("head", [0, 3, 200])
+def test_counts_when_most_pretokens_are_joined(head, spark, docs, texts):
+    """The equi-join beyond the broadcast head gives the same, for repeated and null ids too."""
+    df = docs.select("doc_id", "text").unionByName(texts.select((texts.doc_id + 10_000).alias("doc_id"), "text"))
+    df = df.unionByName(spark.createDataFrame([(None, "a bb ccc a"), (None, "a bb"), (0, "a bb")], DOCS))
+    t = Tokenizer.from_file(BYTES)
+    want = sorted((str(r.doc_id), len((r.text or "").encode()), len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect())
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, BYTES, head=head).collect()) == want
+
+
+def test_each_pretoken_is_counted_once(docs, monkeypatch):
+    found = token_counts.distinct_pretokens(docs.select("text"))
+    monkeypatch.setattr(token_counts, "HELD", 50)
+    small = token_counts.distinct_pretokens(docs.select("text"))
+    rows = {(r.key, r.n) for r in found.collect()}
+    assert rows == {(r.key, r.n) for r in small.collect()} and len({k for k, _ in rows}) == len(rows)
+
+
 def test_empty_tables(texts):
     assert packing.pack(texts.limit(0), WORDS, end_id=1).count() == 0
     assert token_counts.count_tokens(texts.limit(0), BYTES).count() == 0
 
 
 def test_odd_columns(odd):
-    assert token_counts.count_tokens(odd, BYTES).count() == odd.count()
+    assert token_counts.count_tokens(odd.withColumnRenamed("score", "row"), BYTES, head=2).count() == odd.count()
     assert packing.pack(odd, WORDS, end_id=1).groupBy("doc_id").count().count() == 12
