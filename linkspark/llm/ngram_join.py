@@ -19,8 +19,8 @@ these are its signatures. A set also enters the next lower band if a partner may
 
 Candidates are verified on the whole sets, so links are exact up to equality of 64-bit hashes. Before the
 sets travel, pairs are dropped whose histograms over the universe already differ by more than the bound: the
-sum of differences of counts never exceeds the number of differing tokens. A histogram has about a bin for
-four tokens, so it is a few dozen bytes for most documents. Identical
+sum of differences of counts never exceeds the number of differing tokens. A histogram has two bins or more a
+token, of half a byte each: with fewer bins differences cancel and far more pairs pass. Identical
 sets are one node throughout; their copies are never paired. A bucket of up to `pair_limit` different
 sets gives all its pairs. A larger one first gives stars, each round with another centre; after those links
 are known, its members that are still in different components are compared pair by pair inside the task
@@ -55,8 +55,8 @@ _U = np.uint64
 BANDS = np.array([3, 6] + [12 << i for i in range(40)], np.int64)
 #: Bands that begin lower have single tokens as segments.
 SEGMENTED_FROM = 96
-#: Largest and smallest number of bins of a histogram.
-SKETCH, LEAST_SKETCH = 1024, 16
+#: Largest and smallest number of bins of a histogram; counts are held at 15.
+SKETCH, LEAST_SKETCH = 4096, 16
 #: Signatures of shingles that so many texts share are dealt by document, in buckets of SPLIT parts.
 SPLIT_FROM, SPLIT = 1_000_000, 512
 #: Members of one part of a large bucket.
@@ -176,20 +176,25 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 
 def sketches(borders: np.ndarray, h: np.ndarray) -> list[bytes]:
-    """Counts of each row's tokens by the leading bits of their hashes, held at 255; sums and differences of
-    such counts stay lower bounds."""
-    bits = np.clip(np.ceil(np.log2(np.maximum(np.diff(borders), 1) / 4)).astype(int), LEAST_SKETCH.bit_length() - 1, SKETCH.bit_length() - 1)
-    return [np.minimum(np.bincount((h[a:b] >> _U(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes() for a, b, k in zip(borders[:-1].tolist(), borders[1:].tolist(), bits.tolist(), strict=True)]
+    """Counts of each row's tokens by the leading bits of their hashes, two to a byte; sums and differences of
+    counts that are held at 15 stay lower bounds."""
+    bits = np.clip(np.ceil(np.log2(np.maximum(np.diff(borders), 1) * 2)).astype(int), LEAST_SKETCH.bit_length() - 1, SKETCH.bit_length() - 1)
+    out = []
+    for a, b, k in zip(borders[:-1].tolist(), borders[1:].tolist(), bits.tolist(), strict=True):
+        n = np.minimum(np.bincount((h[a:b] >> _U(64 - k)).astype(np.int64), minlength=1 << k), 15).astype(np.uint8)
+        out.append((n[::2] | n[1::2] << 4).tobytes())
+    return out
 
 
 def folded(sketch: list[bytes], bins: int) -> np.ndarray:
     """Histograms of one size, brought to `bins` by adding neighbours."""
-    return np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), bins, -1).sum(2, dtype=np.int16)
+    raw = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), -1)
+    return np.stack((raw & 15, raw >> 4), axis=2).reshape(len(sketch), bins, -1).sum(2, dtype=np.int16)
 
 
 def gaps(one: list[bytes], two: list[bytes]) -> np.ndarray:
     """Sum of differences of each pair of histograms, at the coarser one's bins."""
-    size = np.array([list(map(len, one)), list(map(len, two))], np.int64).reshape(2, -1)
+    size = 2 * np.array([list(map(len, one)), list(map(len, two))], np.int64).reshape(2, -1)
     out = np.zeros(size.shape[1], np.int64)
     for a, b in np.unique(size, axis=1).T.tolist():
         at = np.flatnonzero((size[0] == a) & (size[1] == b))
@@ -425,7 +430,7 @@ def blockwise(left: DataFrame, reps: DataFrame) -> DataFrame:
         sketch = [sketch[i] for i in order]
         two = t["i"][0].as_py() != t["j"][0].as_py()
         # Neighbours in size share a number of bins; views holds the bucket at each such number.
-        bins = np.array(list(map(len, sketch)))
+        bins = 2 * np.array(list(map(len, sketch)))
         views = {}
         for b in np.unique(bins).tolist():
             from_ = int(np.searchsorted(bins, b))
