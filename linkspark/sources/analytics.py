@@ -19,8 +19,8 @@ LIMIT = 10_000
 
 def day_windows(spark: SparkSession, start: str, end: str) -> DataFrame:
     """start, end of the windows of one day from start on; the last ends with `end`."""
-    one = spark.range(1).select(F.to_timestamp(F.lit(start)).alias("a"), F.to_timestamp(F.lit(end)).alias("b")).where("a < b")
-    steps = one.select("b", F.explode(F.sequence("a", F.col("b") - F.expr("interval 1 microsecond"), F.expr("interval 1 day"))).alias("start"))
+    one = spark.range(1).select(F.to_timestamp(F.lit(start)).alias("a"), F.to_timestamp(F.lit(end)).alias("b"))
+    steps = one.select("b", F.explode(F.sequence("a", F.greatest("a", F.col("b") - F.expr("interval 1 microsecond")), F.expr("interval 1 day"))).alias("start")).where("start < b")
     return steps.select("start", F.least(F.col("start") + F.expr("interval 1 day"), F.col("b")).alias("end"))
 
 
