@@ -18,6 +18,7 @@ from ..functions import urls as U
 from ..operators import candidates as K
 from ..operators import corpus_stats as S
 from ..operators import selection as X
+from ..session import shared_dir
 from ..sources import analytics as A
 from ..sources import corpus as R
 from ..streaming import traffic as T
@@ -736,7 +737,7 @@ def day_windows(spark, d):
 @listed("SELECT CAST(NULL AS BIGINT) AS unbound, max(event_id) AS bound, CAST(0 AS BIGINT) AS unknown FROM events WHERE event_type = 'view'")
 def views_endpoint(spark, d):
     """The counter's value as requests see it, after upserts in three batches."""
-    folder = f"{T._shared(requests(spark, d))}/counters-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/counters-{uuid.uuid4().hex}"
     sink = T.counter_sink(f"{folder}/now", f"{folder}/then")
     u = requests(spark, d).select(F.substring("path", 2, 99).alias("key"), F.col("event_id").alias("value"), F.col("event_id").cast("timestamp").alias("updated_at"))
     for i, part in enumerate((u.where("value % 3 = 0"), u.where("value % 3 = 1"), u.where("value % 3 = 2"))):

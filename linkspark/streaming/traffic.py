@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import links as L
 from ..functions import urls as U
+from ..session import shared_dir
 
 NOT_CANONICAL = "Non-canonical short URL payload"
 
@@ -71,13 +72,6 @@ def latest(updates: DataFrame) -> DataFrame:
     return updates.groupBy("key").agg(last).select("key", F.col("last.value").alias("value"), F.col("last.updated_at").alias("updated_at"))
 
 
-def _shared(events: DataFrame) -> str:
-    shared = events.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise RuntimeError("name a checkpoint folder, or set spark.checkpoint.dir")
-    return shared.rstrip("/")
-
-
 def stream_daily(events: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
     """Run a stream of events (path, ts) to its present end, however long it takes; the table of its daily counts.
 
@@ -85,7 +79,7 @@ def stream_daily(events: DataFrame, name: str, checkpoint: str | None = None) ->
     counts. A failed stream raises. State goes to `checkpoint`, else to a new folder in spark.checkpoint.dir.
     """
     spark = events.sparkSession
-    checkpoint = checkpoint or f"{_shared(events)}/{name}-{uuid.uuid4().hex}"
+    checkpoint = checkpoint or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     counts = daily(events.withWatermark("ts", "1 day"))
     table = f"{checkpoint}/table"
     writer = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{table}/batch={i}")).trigger(availableNow=True)

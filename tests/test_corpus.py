@@ -264,3 +264,18 @@ def test_links_resolve_once_for_all_uses(spark):
     summary = spark.createDataFrame([(url,)], "u string").select(L.encode_summary(L.try_encode_url(F.col("u")))).first()[0]
     c = C.encode(url)
     assert summary == f"visible length: {c.short_url_length}/{c.normalized_length} chars ({c.short_url_length / c.normalized_length:.2f}x)"
+
+
+def test_the_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from linkspark.session import shared_dir
+
+    session = lambda folder, master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("hdfs://x/y/", "yarn")) == "hdfs://x/y"
+    assert Path(shared_dir(session(None, "local[4]"))).is_dir() and shared_dir(session(None, "local")) == shared_dir(session(None, "local[4]"))
+    for master in ("yarn", "local-cluster[2,1,900]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(None, master))
