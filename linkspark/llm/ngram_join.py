@@ -416,8 +416,9 @@ def apart(buckets: DataFrame, group: DataFrame, work: Scratch, turn: int) -> Dat
 def blockwise(left: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket's members in different components that size and histogram allow.
 
-    A bucket of more than a block of members is cut into its parts, and every two parts meet in a task of
-    their own, so no task holds more than about two parts.
+    Members in the component of the bucket's lead need no comparison with one another. So a bucket of more
+    than a block of members is cut into parts of those and parts of all others, and only the others' parts meet
+    every part, two in a task of their own: the work is others x members, not the square of the group.
     """
 
     names = ["bucket", "i", "j", "cid", "n_shingles", "component", "part", "sketch"]
@@ -464,10 +465,20 @@ def blockwise(left: DataFrame, reps: DataFrame) -> DataFrame:
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    placed = left.withColumn("cuts", F.ceil(F.col("n") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(11)), F.col("cuts")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
-    met = placed.join(reps.select("cid", "n_shingles", "sketch"), "cid").select("bucket", "cid", "component", "n_shingles", "sketch", "part", other.alias("q"))
-    met = met.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q")).drop("q")
+    other = F.col("component") != F.col("lead.component")
+    sizes = left.groupBy("bucket").agg(F.count_if(other).alias("n_other"), F.max("n_parts").alias("n_parts"))
+    sizes = sizes.select("bucket", "n_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("part"))
+    whole, at = F.col("n") <= BLOCK, F.xxhash64("cid", F.lit(11))
+    others, rest = F.ceil(F.col("n_other") / BLOCK), F.ceil((F.col("n") - F.col("n_other")) / BLOCK)
+    # Parts of the others count from 0, those of the lead's component from -1 downwards.
+    place = F.when(whole, F.lit(0).cast("long")).when(other, F.pmod(at, others)).otherwise(-1 - F.pmod(at, rest))
+    upward = F.sequence(F.lit(0).cast("long"), F.greatest(others, F.lit(1).cast("long")) - 1)
+    downward = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(rest, F.lit(1).cast("long"))), lambda x: -x)
+    meets = F.when(whole, F.array(F.lit(0).cast("long"))).when(other, F.concat(upward, downward)).otherwise(upward)
+    placed = left.join(sizes, ["bucket", "part"]).select("bucket", "cid", "component", place.alias("part"), F.explode(meets).alias("q"))
+    first = F.when((F.col("part") >= 0) & (F.col("q") >= 0), F.least("part", "q")).otherwise(F.greatest("part", "q"))
+    second = F.when((F.col("part") >= 0) & (F.col("q") >= 0), F.greatest("part", "q")).otherwise(F.least("part", "q"))
+    met = placed.select("bucket", "cid", "component", "part", first.alias("i"), second.alias("j")).join(reps.select("cid", "n_shingles", "sketch"), "cid")
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(tasks, *names[:3]).sortWithinPartitions(*names[:3]).select(*names)
     return met.mapInArrow(run, "a long, b long").distinct()

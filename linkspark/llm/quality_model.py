@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import Adam, calibrate, held_out, label_sample, sigmoid
-from .textvec import IS_SPACE, LOWER, Block, blocks, hash_spans, segment_sum, word_spans
+from .textvec import IS_SPACE, LOWER, Block, blocks, hash_spans, word_spans
 
 PASSAGE = 64
 BIGRAMS = 48

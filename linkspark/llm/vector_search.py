@@ -17,7 +17,6 @@ by dimension). Repeated ids are separate candidates, except the query's own id.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

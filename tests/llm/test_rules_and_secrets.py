@@ -1,17 +1,14 @@
-"""Quality rules, URL rules, secrets, vectors and piece lattices against plain versions."""
+"""Quality rules, URL rules, secrets and vectors against plain versions."""
 
 import hashlib
 import re
-import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
-import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from linkspark.llm import piece_lattice as L
 from linkspark.llm import quality_rules as Q
 from linkspark.llm import secrets as S
 from linkspark.llm import url_rules as U
