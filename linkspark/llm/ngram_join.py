@@ -19,8 +19,9 @@ these are its signatures. A set also enters the next lower band if a partner may
 
 Candidates are verified on the whole sets, so links are exact up to equality of 64-bit hashes. Before the
 sets travel, pairs are dropped whose histograms over the universe already differ by more than the bound: the
-sum of differences of counts never exceeds the number of differing tokens. A histogram has two bins or more a
-token, of half a byte each: with fewer bins differences cancel and far more pairs pass. Identical
+sum of differences of counts never exceeds the number of differing tokens. A histogram has eight bins or more
+a token up to FINE bins, and two or more beyond, of half a byte each: with fewer bins differences cancel and far
+more pairs pass. Identical
 sets are one node throughout; their copies are never paired. A bucket of up to `pair_limit` different
 sets gives all its pairs. A larger one first gives stars, each round with another centre; after those links
 are known, its members that are still in different components are compared pair by pair inside the task
@@ -56,7 +57,7 @@ BANDS = np.array([3, 6] + [12 << i for i in range(40)], np.int64)
 #: Bands that begin lower have single tokens as segments.
 SEGMENTED_FROM = 96
 #: Largest and smallest number of bins of a histogram; counts are held at 15.
-SKETCH, LEAST_SKETCH = 4096, 16
+SKETCH, FINE, LEAST_SKETCH = 4096, 1024, 16
 #: Signatures of shingles that so many texts share are dealt by document, in buckets of SPLIT parts.
 SPLIT_FROM, SPLIT = 1_000_000, 512
 #: Members of one part of a large bucket.
@@ -178,7 +179,8 @@ def _i64(x: np.ndarray) -> pa.Array:
 def sketches(borders: np.ndarray, h: np.ndarray) -> list[bytes]:
     """Counts of each row's tokens by the leading bits of their hashes, two to a byte; sums and differences of
     counts that are held at 15 stay lower bounds."""
-    bits = np.clip(np.ceil(np.log2(np.maximum(np.diff(borders), 1) * 2)).astype(int), LEAST_SKETCH.bit_length() - 1, SKETCH.bit_length() - 1)
+    n = np.maximum(np.diff(borders), 1)
+    bits = np.ceil(np.log2(np.clip(np.maximum(2 * n, np.minimum(8 * n, FINE)), LEAST_SKETCH, SKETCH))).astype(int)
     out = []
     for a, b, k in zip(borders[:-1].tolist(), borders[1:].tolist(), bits.tolist(), strict=True):
         n = np.minimum(np.bincount((h[a:b] >> _U(64 - k)).astype(np.int64), minlength=1 << k), 15).astype(np.uint8)

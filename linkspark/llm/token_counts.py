@@ -5,8 +5,8 @@ Each text falls into pre-tokens whose pieces do not depend on their neighbours.
 1. Every task reduces its texts to distinct pre-tokens; one aggregation makes them distinct over all documents,
    with their frequency in the corpus.
 2. The tokenizer counts the pieces of each distinct pre-token, once. The table of counts is written.
-3. Each document's pre-token frequencies are joined to the counts and summed. The `head` most frequent
-   pre-tokens are broadcast (12 bytes each, so 12 MB at most) and joined by position inside the task that reads
+3. Each document's pre-token frequencies are joined to the counts and summed. The most frequent pre-tokens, `head`
+   at most, are broadcast (16 bytes each, so 16 MB at most) and joined by position inside the task that reads
    the text; the frequencies of all others, which are rare, travel to the table by an equi-join on the
    pre-token. Nothing is dropped: a table of fewer pre-tokens simply has no others.
 
@@ -91,9 +91,18 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """doc_id, n_bytes, n_tokens by the byte-level tokenizer file at path."""
     work = Scratch(docs.sparkSession)
     counted = work.stash(with_pieces(distinct_pretokens(docs.select(F.col(text_col).alias("text"))), path), "pretokens")
-    most = counted.orderBy(F.desc("n"), "key").limit(head).select("key", "pieces").toPandas().sort_values("key")
-    keys, pieces = most["key"].to_numpy(np.int64), most["pieces"].to_numpy(np.int64)
-    whole = len(most) < head
+    # The frequency from which no more than `head` pre-tokens are, by eighths of powers of two.
+    rank = F.floor(F.log2("n") * 8)
+    taken, least = 0, None
+    for r in counted.groupBy(rank.alias("rank")).count().orderBy(F.desc("rank")).collect():
+        taken += r["count"]
+        if taken > head:
+            break
+        least = r["rank"]
+    most = counted.where(rank >= least if least is not None else F.lit(False)).select("key", "pieces").toArrow()
+    keys, pieces = most["key"].to_numpy(), most["pieces"].to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    keys, pieces, whole = keys[order], pieces[order], taken <= head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
