@@ -2,8 +2,8 @@
 
 Pieces and their merge order come from a model file. A text is prepared as the model's processor does (blanks
 become U+2581, one goes before the text where the model says so) and cut into chunks before each single
-U+2581 that stands between other characters, and between a letter and a stop that no piece joins; both are
-checked against all pieces when the model is loaded.
+U+2581 that stands between other characters, between a letter that no piece joins to a stop and a stop, and around line
+feeds where no longer piece holds one; all are checked against all pieces when the model is loaded.
 
 Scores. A byte-pair model's scores are ranks of merges, and their sums mean nothing, so segmentations are
 ordered by how far they depart from the tokenizer's own: a piece that the tokenizer's encoding has at its place
@@ -19,7 +19,8 @@ without loss at once, and only its siblings wait, so the search is linear in the
 Characters that no piece covers fall back to their bytes, or to the unknown piece.
 
 A document's N best segmentations are combinations of its chunks' N best: again best first, from the sums of
-differences to the best. Chunk results are kept in a table of the worker, bounded by MAX_CHUNKS.
+differences to the best. Chunk results are kept in a table of the worker, bounded by MAX_CHUNKS: beyond it,
+what was used once goes and what came again stays.
 
 Null and empty texts have no piece and score 0, with one segmentation. Repeated rows are encoded alike; empty
 tables give no rows; further columns are ignored, whatever their names. Very long chunks are searched as a whole.
@@ -32,7 +33,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import public_tokenizers
@@ -45,8 +46,8 @@ BLANK = "▁"
 FALLBACK = 20.0
 #: Ranks count from here in Zipf's law, which flattens it for the first merges.
 ZIPF_FROM = 100
-#: A worker's table is emptied beyond so many distinct chunks; it bounds memory, never results.
-MAX_CHUNKS = 500_000
+#: Beyond so many distinct chunks a worker's table drops the words used least; it bounds memory, never results.
+MAX_CHUNKS = 800_000
 #: Before a single blank between other characters.
 BORDER = f"(?<=[^{BLANK}])(?={BLANK}[^{BLANK}])"
 STOPS = ".,!?$%&*#|"
@@ -84,14 +85,16 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         if any(re.search(BORDER, p) for p in self.ids):
             raise ValueError("a piece of this model spans a word border")
-        joined = {c for c in STOPS if any(re.search(r"[^\W\d_]" + re.escape(c), p) for p in self.ids)}
-        free = re.escape("".join(c for c in STOPS if c not in joined))
-        self.border = re.compile(BORDER + (rf"|(?<=[^\W\d_])(?=[{free}])" if free else ""))
+        joined = re.escape("".join(sorted({x for p in self.ids for x in re.findall(rf"([^\W\d_])(?=[{re.escape(STOPS)}])", p)})))
+        #: Whether nothing ever joins a line feed, so that texts can be cut around each.
+        self.lines = not any("\n" in p and len(p) > 1 for p in self.ids)
+        around = r"|(?<=\n)(?=[\s\S])|(?<=[\s\S])(?=\n)" if self.lines else ""
+        self.border = re.compile(BORDER + rf"|(?<=[^\W\d_{joined}])(?=[{re.escape(STOPS)}])" + around)
         raw = [t.encode() for t in self.text]
         for b, i in self.byte.items():
             raw[i] = bytes([b])
-        self.raw_size = np.array([len(r) for r in raw], np.int64)
-        self.raw_start = np.concatenate(([0], np.cumsum(self.raw_size)[:-1]))
+        self.raw_size = np.array([len(r) for r in raw], np.int32)
+        self.raw_start = np.concatenate(([0], np.cumsum(self.raw_size)[:-1])).astype(np.int32)
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         # Characters of each piece; a character in bytes counts at its first byte.
         self.width = np.array([int(len(r) == 1 and not 0x80 <= r[0] < 0xC0) if i in set(self.byte.values()) else len(t) for i, (t, r) in enumerate(zip(self.text, raw, strict=True))], np.int64)
@@ -274,8 +277,8 @@ class PieceModel:
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         """The UTF-8 bytes that a piece sequence stands for."""
         size = self.raw_size[ids]
-        to = np.cumsum(size)
-        return self.raw[np.repeat(self.raw_start[ids] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
+        to = np.cumsum(size, dtype=np.int32 if len(ids) < 1 << 20 else np.int64)
+        return self.raw[np.repeat(self.raw_start[ids] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0, dtype=to.dtype)]
 
 
 @lru_cache(maxsize=2)
@@ -294,14 +297,35 @@ class ChunkTable:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.words: dict[str, int] = {}
-        self.of_word = np.zeros(0, np.int64)  # the words' rows, end to end
-        self.word_start, self.word_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)  # of each word
+        self.of_word = np.zeros(0, np.int32)  # the words' rows, end to end
+        self.word_start, self.word_size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.score = np.zeros(0)
         self.loss = np.zeros((0, self.n - 1))
-        self.size = np.zeros((0, self.n), np.int64)
-        self.start = np.zeros((0, self.n), np.int64)
+        self.size = np.zeros((0, self.n), np.int32)
+        self.start = np.zeros(0, np.int64)  # of a chunk's first segmentation; the others lie behind it
         self.ids = np.zeros(0, "<u4")
 
+    def trim(self) -> None:
+        """Keep the words used most, half the bound at most; words used once always go."""
+        least = 2
+        while np.count_nonzero(self.uses >= least) > MAX_CHUNKS // 2:
+            least *= 2
+        kept = self.uses >= least
+        self.words = dict(zip(compress(self.words, kept.tolist()), range(len(kept)), strict=False))
+        size, old = self.word_size[kept], self.word_start[kept]
+        to = np.cumsum(size, dtype=np.int64)
+        rows, of_word = np.unique(self.of_word[np.repeat(old - (to - size), size) + np.arange(int(size.sum()))], return_inverse=True)
+        self.uses, self.of_word, self.word_start, self.word_size = self.uses[kept] >> 1, of_word.astype(np.int32), to - size, size
+        live = np.zeros(len(self.size), bool)
+        live[rows] = True
+        self.index = dict(zip(compress(self.index, live.tolist()), range(len(rows)), strict=True))
+        self.score, self.loss, self.size, old = self.score[rows], self.loss[rows], self.size[rows], self.start[rows]
+        size = self.size.sum(1, dtype=np.int64)
+        to = np.cumsum(size)
+        self.start = to - size
+        self.ids = self.ids[np.repeat(old - self.start, size) + np.arange(int(size.sum()))]
+
     def add(self, chunks: list[str], begins: list[np.ndarray]) -> None:
         """Chunks go in order of length, so that those searched together end together."""
         todo = sorted(range(len(chunks)), key=lambda i: len(chunks[i]))
@@ -316,8 +340,9 @@ class ChunkTable:
         score, count, ids = (np.concatenate(x) for x in zip(*found, strict=True))
         self.score = np.concatenate((self.score, score[:, 0]))
         self.loss = np.concatenate((self.loss, score[:, :1] - score[:, 1:]))
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count).reshape(count.shape) - count))
-        self.size = np.concatenate((self.size, count))
+        every = count.sum(1)
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(every) - every))
+        self.size = np.concatenate((self.size, count.astype(np.int32)))
         self.ids = np.concatenate((self.ids, ids))
 
     def learn(self, new: list[str], chunks: list[list[str]], begin: list[int], begins: np.ndarray) -> None:
@@ -333,10 +358,11 @@ class ChunkTable:
             self.add(list(missing), list(missing.values()))
         base = len(self.word_size)
         self.words.update(zip(new, range(base, base + len(new)), strict=True))
-        size = np.array([len(c) for c in chunks], np.int64)
-        self.word_start = np.concatenate((self.word_start, len(self.of_word) + np.cumsum(size) - size))
+        size = np.array([len(c) for c in chunks], np.int32)
+        self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
+        self.word_start = np.concatenate((self.word_start, len(self.of_word) + np.cumsum(size, dtype=np.int64) - size))
         self.word_size = np.concatenate((self.word_size, size))
-        self.of_word = np.concatenate((self.of_word, np.fromiter((self.index[c] for w in chunks for c in w), np.int64, int(size.sum()))))
+        self.of_word = np.concatenate((self.of_word, np.fromiter(map(self.index.__getitem__, chain.from_iterable(chunks)), np.int32, int(size.sum()))))
 
     def marks(self, chunk: str) -> np.ndarray:
         out = np.zeros(len(chunk), bool)
@@ -346,23 +372,27 @@ class ChunkTable:
     def rows(self, whole: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Table rows of the chunks of prepared texts, laid end to end, and each text's borders in them."""
         if len(self.index) > MAX_CHUNKS or len(self.word_size) > 2 * MAX_CHUNKS:
-            self.clear()
+            self.trim()
         split, words = self.model.border.split, self.words
         plain = [w[:1] == BLANK and w[-1:] != BLANK and BLANK + BLANK not in w for w in whole]
-        # A chunk of a text that has to be cut as a whole stands behind two blanks, which no word holds.
-        parts = [w[1:].split(BLANK) if p else [BLANK + BLANK + c for c in split(w)] if w else [] for w, p in zip(whole, plain, strict=True)]
+        # A word keeps the line feed before it, if any, else a blank stands there; so a blank before a line feed
+        # leaves an empty word. A chunk of a text that has to be cut as a whole stands behind two blanks, which no word holds.
+        line = BLANK + "\n" if self.model.lines else "\n"
+        parts = [w[1:].replace("\n", line).split(BLANK) if p else [BLANK + BLANK + c for c in split(w)] if w else [] for w, p in zip(whole, plain, strict=True)]
         new = list(set().union(*parts).difference(words))
-        if free := [x for x in new if x[:1] != BLANK]:
+        if free := [x for x in new if x and x[0] != BLANK]:
             at, begins = self.model.borders(free)
-            self.learn(free, [split(BLANK + x) for x in free], at.tolist(), begins)
-        if loose := [x for x in new if x[:1] == BLANK]:
-            chunks = [x[2:] for x in loose]
+            own = np.array([self.model.lines and x[0] == "\n" for x in free])
+            self.learn(free, [[BLANK + x] if x.isalpha() else split(x if o else BLANK + x) for x, o in zip(free, own.tolist(), strict=True)], (at + own).tolist(), begins)
+        if loose := [x for x in new if not x or x[0] == BLANK]:
+            chunks = [x[2:] or BLANK for x in loose]
             at = np.cumsum([0, *map(len, chunks)])[:-1]
             self.learn(loose, [[x] for x in chunks], at.tolist(), np.concatenate([self.marks(x) for x in chunks]))
         n = np.array([len(t) for t in parts], np.int64)
         at = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         size = self.word_size[at]
-        to = np.concatenate(([0], np.cumsum(size)))
+        to = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         rows = self.of_word[np.repeat(self.word_start[at] - to[:-1], size) + np.arange(int(to[-1]))]
         return rows, to[np.concatenate(([0], np.cumsum(n)))]
 
@@ -370,11 +400,12 @@ class ChunkTable:
         """Ids of the chunks' best segmentations, laid end to end."""
         size = self.size[rows, 0]
         to = np.cumsum(size)
-        return self.ids[np.repeat(self.start[rows, 0] - (to - size), size) + np.arange(int(size.sum()))] if len(rows) else self.ids[:0]
+        return self.ids[np.repeat(self.start[rows] - (to - size), size) + np.arange(int(size.sum()))] if len(rows) else self.ids[:0]
 
     def one(self, row: int, k: int) -> np.ndarray:
         """Ids of a chunk's segmentation k."""
-        return self.ids[self.start[row, k] : self.start[row, k] + self.size[row, k]]
+        at = self.start[row] + int(self.size[row, :k].sum())
+        return self.ids[at : at + self.size[row, k]]
 
 
 @lru_cache(maxsize=2)

@@ -92,3 +92,28 @@ def test_a_small_table_gives_the_same(monkeypatch, docs):
     small = L.ChunkTable(PATH, 4)
     for t in texts:
         assert [(s, i.tolist()) for s, i in L.encode(t, small)] == [(s, i.tolist()) for s, i in L.encode(t, want)]
+
+
+def test_lines_share_their_words():
+    """Texts are cut around line feeds and before full stops, so a word is solved once wherever it stands."""
+    known = L.ChunkTable(PATH, 4)
+    text = "orre thsh.\nLa thsh\nLa orre \n\nLa.\n thsh"
+    assert known.model.lines and L.encode(text, known)[0][1].tolist() == known.model.sp.encode(text)
+    assert set(known.index) == {"▁orre", "▁thsh", ".", "\n", "La", "▁"}
+    for text in ("\n", "x².", "²..,²", "\nx", "x\n", " \n ", "x \n", "a\n\n b\n", "a  \nb", "a\r\nb", "\n\n\n"):
+        got = L.encode(text, known)
+        assert got[0][1].tolist() == known.model.sp.encode(text) and all(L.decode_text(i, known.model) == text for _, i in got)
+        assert np.allclose([-s for s, _ in got], [c for c, _ in every_segmentation(known.model, known.model.prepare(text))[:4]])
+
+
+def test_a_full_table_keeps_what_came_again(monkeypatch):
+    known, fresh = L.ChunkTable(PATH, 4), L.ChunkTable(PATH, 4)
+    monkeypatch.setattr(L, "MAX_CHUNKS", 8)
+    L.encode("the cat, the cat. once two three four five six seven", known)
+    solved = []
+    add = known.add
+    monkeypatch.setattr(known, "add", lambda chunks, begins: (solved.extend(chunks), add(chunks, begins)))
+    text = "the cat again, once"
+    want = [(s, i.tolist()) for s, i in L.encode(text, fresh)]
+    assert [(s, i.tolist()) for s, i in L.encode(text, known)] == want
+    assert "▁the" not in solved and "▁once" in solved and len(known.index) < 8
