@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from linkspark.llm import packing, token_counts
+from linkspark.llm import packing, token_counts, vocab
 
 from .conftest import DOCS
 
@@ -92,3 +92,40 @@ def test_empty_tables(texts):
 def test_odd_columns(odd):
     assert token_counts.count_tokens(odd.withColumnRenamed("score", "row"), BYTES, head=2).count() == odd.count()
     assert packing.pack(odd, WORDS, end_id=1).groupBy("doc_id").count().count() == 12
+
+
+FOLDED = [
+    "The the THE. the! The### the&&&", "H\u0331 h\u0331 J\u030cx T\u0308.W\u030a A\u0301 a\u0301 I\u0307 H\u0591\u0331", "<|ENDOFTEXT|> x", "a<|EndOfText|>B!", "<|endoftext|>A. <|startoftext|>!B",
+    "a!b#c$d%e&f*g?H'S!'s A'LL!'ll #'s '.s '!re x'!S", "É!É é$$$é ß!× ×!x ÷.A", "ΑΣ! Σ.Σ A\u0338! !\u0338a =\u0338 \u212aX \u212bx!", "1!A2#b*3", "\U0001f44dA!\U0001f44d",
+]
+
+
+def word_ids(texts):
+    column = packing.pa.array(texts, packing.pa.string())
+    return [ids[a:b].tolist() for _, borders, ids in packing.document_ids(column, WORDS, 1) for a, b in zip(borders[:-1], borders[1:], strict=True)]
+
+
+def test_folded_and_cut_words_are_the_librarys(monkeypatch):
+    """Alone, all together, and through a table that is trimmed before every look-up."""
+    t = Tokenizer.from_file(WORDS)
+    r = np.random.default_rng(5)
+    parts = list("aAhHsStT.,!?#$%&*'|<é É1") + ["\u0331", "\u0301", "\u0307", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "Σ", "\n"]
+    texts = ODD + FOLDED + ["".join(r.choice(parts, k)) for k in r.integers(1, 40, 400)]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    assert word_ids(texts) == want and [word_ids([x])[0] for x in texts] == want
+    monkeypatch.setattr(vocab, "MAX_CHUNKS", 20)
+    assert [word_ids([x])[0] for x in texts + texts[::-1]] == want + want[::-1]
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """In whatever case, and beside whatever stop; a full table keeps what came again."""
+    known = vocab.WordTable(WORDS)
+    monkeypatch.setattr(packing, "table", lambda *_: known)
+    word_ids(["The the THE. the! The### the&&&"])
+    assert len(known.keys) == 5  # the . ! ### &&&
+    monkeypatch.setattr(vocab, "MAX_CHUNKS", 8)
+    word_ids(["the one two three four five"])
+    new, encode = [], known._encode
+    monkeypatch.setattr(known, "_encode", lambda texts: (new.extend(texts), encode(texts))[1])
+    word_ids(["the one"])
+    assert new == ["one"] and len(known.keys) == 2
